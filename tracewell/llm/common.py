@@ -11,9 +11,12 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that a Python worker takes at once; a longer text is taken alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+#: Bytes of a batch that goes to a Python worker.
+BATCH_BYTES = 4 << 20
 
 
 def ship(*modules) -> None:
@@ -43,6 +46,17 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
+    """mapInArrow over batches of few megabytes, however long the texts are."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(fn, schema)
+
+
+def schema_of(df: DataFrame, keep, more: str) -> StructType:
+    """The schema of the kept columns of df and further ones, as DDL."""
+    return StructType([*df.select(*keep).schema.fields, *StructType.fromDDL(more).fields])
+
+
 def with_columns_of(df: DataFrame, *need: tuple[str, str]) -> DataFrame:
     """Exactly the columns asked for, cast; a missing one is null.  Other columns are left behind."""
     have = set(df.columns)

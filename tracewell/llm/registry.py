@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from .decontam import op6_decontamination
 from .mixing import op10_mixing
+from .pii import op4_pii
 from .quality import op7_quality_rules
 from .sharding import op8_sharding
+from .substrings import op2_substring_repeats
 from .urls import op5_url_filters
 
 
 def queries() -> dict:
     return {
+        "op2_substring_repeats": op2_substring_repeats,
+        "op4_pii": op4_pii,
         "op5_url_filters": op5_url_filters,
+        "op6_decontamination": op6_decontamination,
         "op7_quality_rules": op7_quality_rules,
         "op8_sharding": op8_sharding,
         "op10_mixing": op10_mixing,
