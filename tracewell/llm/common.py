@@ -155,16 +155,18 @@ def words_of(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return mix64((p[e] - p[s]) * q[s]), s, e
 
 
-def shingles_of(h: np.ndarray, ws: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of k words and the first shingle of each row, given each row's first word (ws, with end).
+def shingles_of(h: np.ndarray, ws: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, first words and lengths of all runs of k words, and the first shingle of each row (with end).
 
+    ws holds each row's first word (with end).
     A row of fewer words, but not none, has one shingle, of all its words.
     """
     n = np.diff(ws)
     count = np.where(n >= k, n - k + 1, (n > 0).astype(n.dtype))
     first = np.concatenate([[0], np.cumsum(count)])
     if not first[-1]:
-        return np.zeros(0, np.uint64), first
+        z = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), z, z, first
     at = np.repeat(ws[:-1] - first[:-1], count) + np.arange(first[-1])
     length = np.repeat(np.minimum(n, k), count)
     out = np.full(len(at), 0x2545F4914F6CDD1D, np.uint64)
@@ -176,4 +178,4 @@ def shingles_of(h: np.ndarray, ws: np.ndarray, k: int) -> tuple[np.ndarray, np.n
         else:
             x = (out[use] ^ h[at[use] + j]) * np.uint64(0xD6E8FEB86659FD93)
             out[use] = x ^ (x >> np.uint64(32))
-    return mix64(out), first
+    return mix64(out), at, length, first

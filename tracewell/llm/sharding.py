@@ -4,26 +4,27 @@ Equal texts form one atomic group.  Groups are ordered by a hash of the text; th
 order whose largest size in bytes is the smallest possible.  That capacity is found by binary search, each candidate
 checked greedily: fill a shard until the next group does not fit, then cut.
 
-The driver never holds the groups.  It holds the ends of at most `blocks` runs of the order, which bracket the
-capacity and every cut; only the few gaps in which a cut can lie are then divided further.  Ranks and sums come
-from a range partition by (text hash, doc_id), in which a hot group spreads over many partitions.
+The driver never holds the groups.  It holds the sums of at most 2^`bits` ranges of hashes, which bracket the capacity and
+every cut; only the few ranges in which a cut can lie are then divided further.  A cut is a hash, so rows learn their
+shard by comparing theirs.  Slots count on from the sums of (shard, bucket) counts; buckets deal the rows of a shard by id,
+so neither a large shard nor a hot text is one task.
 
 Defined cases: a null text is an empty one, of size 8; repeated rows and null ids are rows of their own, with their own
 slots; a group larger than the mean is a shard of its own at least; with fewer groups than shards, late shards are
-empty; an empty table gives an empty result.  All columns of the input are kept by `assign`, which adds its own under
-names that the input does not use (the input's column of that name is replaced).
+empty; an empty table gives an empty result.  `assign` keeps all columns of the input; its own replace those of their
+names.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, with_columns_of, written
 
-BLOCKS = 4096
+BITS, FINER = 12, 6
 
 
 def filled(ends: list[int], counts: list[int], capacity: int, shards: int, hopeful: bool) -> list[int] | None:
@@ -56,95 +57,87 @@ def smallest(fits, low: int, high: int) -> int:
     return low
 
 
-def ordered(docs: DataFrame) -> DataFrame:
-    """Rows in the order of groups: the input row, group key, size, rank from 0 and the sum of sizes before and with it."""
-    keyed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__t"),
-        (F.col("doc_id") if "doc_id" in docs.columns else F.lit(None)).cast("long").alias("__id"),
-    )
-    keyed = keyed.select("__row", "__id", F.xxhash64("__t").alias("__h"), F.crc32("__t").alias("__crc"), (F.octet_length("__t") + 8).cast("long").alias("__size"))
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    place = F.monotonically_increasing_id()
-    ranked = keyed.repartitionByRange(n, "__h", "__crc", "__id").sortWithinPartitions("__h", "__crc", "__id")
-    ranked = written(ranked.withColumn("__place", place))
-    pid, idx = F.shiftright("__place", 33).cast("int"), F.col("__place").bitwiseAND((1 << 33) - 1)
-    ranked = ranked.select("*", pid.alias("__pid"), idx.alias("__idx"))
-    parts = ranked.groupBy("__pid").agg(F.count(F.lit(1)).alias("n"), F.sum("__size").alias("b")).collect()  # one row a partition
-    rank, total, starts = 0, 0, []
-    for row in sorted(parts, key=lambda r: r["__pid"]):
-        starts.append((row["__pid"], rank, total))
-        rank, total = rank + row["n"], total + row["b"]
-    offsets = spark.createDataFrame(starts or [(0, 0, 0)], "__pid int, __rank0 long, __sum0 long")
-    w = Window.partitionBy("__pid").orderBy("__idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = ranked.select("*", F.sum("__size").over(w).alias("__run")).join(F.broadcast(offsets), "__pid")  # a row for each partition
-    return out.select("__row", "__h", "__crc", "__size", (F.col("__rank0") + F.col("__idx")).alias("__rank"), (F.col("__sum0") + F.col("__run")).alias("__sum"))
-
-
-def cut_sums(rows: DataFrame, shards: int, blocks: int = BLOCKS, finer: int = 64) -> tuple[int, list[int]]:
-    """The smallest capacity and the running sums at which the shards end.
-
-    Starts from `blocks` known ends; while optimism and pessimism about the ends between them give different
-    capacities, the gaps in which a cut may lie (at most a few for each shard) are divided `finer` times each.
-    """
-    groups = written(rows.groupBy("__h", "__crc").agg(F.max("__sum").alias("end"), F.sum("__size").alias("bytes")))
-    top = groups.agg(F.max("end").alias("t"), F.max("bytes").alias("m")).first()
-    if top["t"] is None:
+def reached(ends: list[int], capacity: int, shards: int) -> list[int]:
+    """The pessimist's cuts as far as they come."""
+    cuts, at = [], 0
+    for _ in range(shards):
+        i = bisect_right(ends, at + capacity)
+        at = max(at, ends[i - 1] if i else 0)
+        cuts.append(at)
+    return cuts
+
+
+def partition(groups: DataFrame, shards: int, bits: int = BITS) -> tuple[int, list[int]]:
+    """The smallest capacity and the last hash of each shard but the last; groups has a row (h, bytes) for each text."""
+
+    def ranges(rows: DataFrame, b: int) -> list[tuple[int, int, int, int, int]]:
+        """(last hash, b, first hashes' bits, bytes, groups) of the ranges that share b leading bits."""
+        by = rows.groupBy(F.shiftright("h", 64 - b).alias("p")).agg(F.sum("bytes").alias("s"), F.count(F.lit(1)).alias("n"))
+        return [(((r["p"] + 1) << (64 - b)) - 1, b, r["p"], r["s"], r["n"]) for r in by.collect()]
+
+    known = sorted(ranges(groups, bits))
+    if not known:
         return 0, []
-    total, largest = top["t"], top["m"]
-    width = max(1, -(-total // blocks))
-    coarse = groups.groupBy(F.floor(F.col("end") / width).alias("b")).agg(F.max("end").alias("e"), F.count(F.lit(1)).alias("n"))
-    known = {r["e"]: r["n"] for r in coarse.collect()}  # at most blocks + 1 rows
+    total, largest = sum(k[3] for k in known), groups.agg(F.max("bytes")).first()[0]
     while True:
-        ends = sorted(known)
-        counts = [known[e] for e in ends]
-        first = max(largest, -(-total // shards))
-        low = smallest(lambda c: filled(ends, counts, c, shards, True) is not None, first, total)
+        ends, at = [], 0
+        for k in known:
+            at += k[3]
+            ends.append(at)
+        counts = [k[4] for k in known]
+        low = smallest(lambda c: filled(ends, counts, c, shards, True) is not None, max(largest, -(-total // shards)), total)
         high = smallest(lambda c: filled(ends, counts, c, shards, False) is not None, low, total)
         if low == high:
-            return high, filled(ends, counts, high, shards, False)
-        late, early = filled(ends, counts, high, shards, True), filled(ends, counts, low, shards, False)
-        early = early or _as_far(ends, counts, low, shards)
-        gaps = set()
+            last = {e: k[0] for e, k in zip(ends, known)}
+            return high, [last[c] for c in filled(ends, counts, high, shards, False)[:-1]]
+        early, late, gaps = reached(ends, low, shards), filled(ends, counts, high, shards, True), set()
         for j in range(shards):
-            a, b = early[min(j, len(early) - 1)], late[min(j, len(late) - 1)]
+            a, b = early[j], late[min(j, len(late) - 1)]
             gaps |= {i for i in range(bisect_right(ends, a), min(bisect_right(ends, b), len(ends) - 1) + 1) if counts[i] > 1}
-        bounds = [(ends[i - 1] if i else 0, ends[i]) for i in sorted(gaps)]
-        near = rows.sparkSession.createDataFrame([(i, a, b, max(1, -(-(b - a) // finer))) for i, (a, b) in enumerate(bounds)], "gap int, a long, b long, w long")
-        found = groups.join(F.broadcast(near), (F.col("end") > F.col("a")) & (F.col("end") <= F.col("b")))  # a few hundred gaps
-        found = found.groupBy("gap", F.floor((F.col("end") - F.col("a") - 1) / F.col("w")).alias("p")).agg(F.max("end").alias("e"), F.count(F.lit(1)).alias("n"))
-        known |= {r["e"]: r["n"] for r in found.collect()}  # at most `finer` rows for each gap
+        divided = []
+        for b in {known[i][1] for i in gaps}:  # a few levels; a few ranges for each shard
+            some = groups.where(F.shiftright("h", 64 - b).isin([known[i][2] for i in gaps if known[i][1] == b]))
+            divided += ranges(some, min(64, b + FINER))
+        known = sorted([k for i, k in enumerate(known) if i not in gaps] + divided)
 
 
-def _as_far(ends: list[int], counts: list[int], capacity: int, shards: int) -> list[int]:
-    """The pessimist's cuts as far as they come."""
-    cuts, at = [], 0
-    for _ in range(shards):
-        i = bisect_right(ends, at + capacity)
-        at = max(at, ends[i - 1] if i else 0)
-        cuts.append(at)
-    return cuts
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
-def assign(docs: DataFrame, shards: int) -> DataFrame:
-    """The rows of docs with shard (int), slot (long, from 0 in each shard, gapless), size and text_crc32 (long)."""
-    rows = written(ordered(docs))
-    _, cuts = cut_sums(rows, shards)
-    shard = F.lit(0)
-    for c in cuts[:-1]:
-        shard = shard + (F.col("__sum") > c).cast("int")
-    rows = rows.withColumn("shard", shard.cast("int"))
-    starts = rows.groupBy("shard").agg(F.min("__rank").alias("__start"))
-    out = rows.join(F.broadcast(starts), "shard")  # a row for each shard
+def assign(docs: DataFrame, shards: int, keyed: DataFrame | None = None) -> DataFrame:
+    """The rows of docs with shard (int), slot (long, from 0 in each shard, gapless), size and text_crc32 (long).
+
+    keyed may give the rows as (row struct, id, h, size, text_crc32) instead, where the text itself is not wanted.
+    """
     names = [c for c in docs.columns if c not in ("shard", "slot", "size", "text_crc32")]
-    return out.select(
-        *[F.col("__row")[c].alias(c) for c in names],
-        F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.col("shard"), (F.col("__rank") - F.col("__start")).alias("slot"),
-    )
+    if keyed is None:
+        text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+        row = F.struct(*[F.col(f"`{c}`") for c in names])
+        keyed = docs.select(row.alias("__row"), F.col("doc_id").alias("__id"), text_hash().alias("h"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    small = written(keyed.select("__id", "h", "size"))
+    groups = written(small.groupBy("h").agg(F.sum("size").alias("bytes")))
+    _, cuts = partition(groups, shards)
+    shard = F.lit(0)
+    for c in cuts:
+        shard = shard + (F.col("h") > c).cast("int")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket = F.pmod(F.xxhash64("h", "__id"), F.lit(n))
+    counts = small.groupBy(shard.alias("shard"), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect()  # shards x buckets
+    starts, at = [], {}
+    for r in sorted(counts, key=lambda r: (r["shard"], r["bucket"])):
+        starts.append((r["shard"], r["bucket"], at.get(r["shard"], 0)))
+        at[r["shard"]] = starts[-1][2] + r["n"]
+    start = docs.sparkSession.createDataFrame(starts or [(0, 0, 0)], "s0 int, b0 long, start long")
+    rows = keyed.withColumns({"shard": shard, "bucket": bucket})
+    place = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("h", "__id"))
+    rows = rows.withColumn("place", place).join(F.broadcast(start), (F.col("shard") == F.col("s0")) & (F.col("bucket") == F.col("b0")))
+    return rows.select(*[F.col("__row")[c].alias(c) for c in names], "size", "text_crc32", "shard", (F.col("start") + F.col("place") - 1).alias("slot"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str, shards: int = 24) -> DataFrame:
     docs = with_columns_of(table(spark, sf_dir, "documents"), ("doc_id", "long"), ("text", "string"))
-    out = assign(docs, shards)
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(F.struct("doc_id").alias("__row"), F.col("doc_id").alias("__id"), text_hash().alias("h"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    out = assign(docs.select("doc_id"), shards, written(keyed))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
