@@ -219,24 +219,30 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     return components(good.unionByName(more)).select(F.col("node").alias("tid"), "root")
 
 
-def dedup(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """__row (the row of docs), class_id, class_size and n_texts (different texts in the class) of every row."""
+def labelled(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """place, id, tid and root (of the class) of every row of docs; place is the row's monotonic id."""
     roots = written(classes(docs, least)).toDF("tid0", "root")
-    t = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("tid"), F.col("doc_id").alias("id"))
-    t = t.join(roots, F.col("tid") == F.col("tid0"), "left").select("__row", "tid", "id", F.coalesce("root", "tid").alias("root"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    t = docs.select(F.monotonically_increasing_id().alias("place"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("tid"))
+    return written(t.join(roots, F.col("tid") == F.col("tid0"), "left").select("place", "id", "tid", F.coalesce("root", "tid").alias("root")))
+
+
+def dedup(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """doc_id, class_id, class_size (rows) and n_texts (different texts of the class) of every row of docs."""
+    t = labelled(docs, least)
     by_text = t.groupBy("root", "tid").agg(F.min("id").alias("i"), F.count(F.lit(1)).alias("n"))
-    of = by_text.groupBy("root").agg(F.min("i").alias("class_id"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("n_texts"))
-    return t.join(of.withColumnRenamed("root", "root0"), F.col("root") == F.col("root0")).select("__row", "tid", "class_id", "class_size", "n_texts")
+    of = by_text.groupBy(F.col("root").alias("root0")).agg(F.min("i").alias("class_id"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("n_texts"))
+    return t.join(of, F.col("root") == F.col("root0")).select(F.col("id").alias("doc_id"), "class_id", "class_size", "n_texts")
 
 
 def keep_one(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """One row of each class, that of the least doc_id: same columns.  Equal rows of that id are one row."""
-    t = dedup(docs, least)
-    lead = t.where(F.col("__row.doc_id").eqNullSafe(F.col("class_id")))
-    rest = lead.groupBy("__row").agg(F.min("tid").alias("tid"), F.first("class_id").alias("c")) if not _has_map(docs) else lead
-    return rest.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
+    """One row of each class, a row of the least doc_id (the first of equal ones): same columns."""
+    t = labelled(docs, least)
+    lead = t.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "place")).alias("x")).select(F.col("x.place").alias("__lead"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.monotonically_increasing_id().alias("__place"))
+    rows = rows.join(lead.hint("shuffle_hash"), F.col("__place") == F.col("__lead"), "left_semi")
+    return rows.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup(with_columns_of(table(spark, sf_dir, "documents"), ("doc_id", "long"), ("text", "string")))
-    return out.select(F.col("__row.doc_id").alias("doc_id"), "class_id", "class_size", "n_texts")
+    return dedup(with_columns_of(table(spark, sf_dir, "documents"), ("doc_id", "long"), ("text", "string")))

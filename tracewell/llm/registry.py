@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .decontam import op6_decontamination
 from .mixing import op10_mixing
+from .neardup import op1_near_duplicates
 from .pii import op4_pii
 from .quality import op7_quality_rules
+from .sentences import op9_sentence_spans
 from .sharding import op8_sharding
 from .substrings import op2_substring_repeats
 from .urls import op5_url_filters
@@ -13,12 +15,14 @@ from .urls import op5_url_filters
 
 def queries() -> dict:
     return {
+        "op1_near_duplicates": op1_near_duplicates,
         "op2_substring_repeats": op2_substring_repeats,
         "op4_pii": op4_pii,
         "op5_url_filters": op5_url_filters,
         "op6_decontamination": op6_decontamination,
         "op7_quality_rules": op7_quality_rules,
         "op8_sharding": op8_sharding,
+        "op9_sentence_spans": op9_sentence_spans,
         "op10_mixing": op10_mixing,
     }
 
