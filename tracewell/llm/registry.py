@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontam import op6_decontamination
+from .licenses import op3_license_scan
 from .mixing import op10_mixing
 from .neardup import op1_near_duplicates
 from .pii import op4_pii
@@ -17,6 +18,7 @@ def queries() -> dict:
     return {
         "op1_near_duplicates": op1_near_duplicates,
         "op2_substring_repeats": op2_substring_repeats,
+        "op3_license_scan": op3_license_scan,
         "op4_pii": op4_pii,
         "op5_url_filters": op5_url_filters,
         "op6_decontamination": op6_decontamination,

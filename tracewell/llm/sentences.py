@@ -38,30 +38,39 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def with_runs(docs: DataFrame, run: int, least: int) -> DataFrame:
-    """id, tid (text hash) and runs: (i, n, h) from sentence i on, n sentences, hash h."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    # a sentence becomes its hash and its number of words; sentences of white space alone are no sentences
-    parts = F.transform(sentences(text), lambda s: let(normal(s), lambda x: F.when(x == "", F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).alias("w"))).otherwise(F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("w")))))
-    kept = F.filter(F.transform(parts, lambda p, i: F.struct(p["h"].alias("h"), p["w"].alias("w"), i.alias("i"))), lambda p: p["w"] > 0)
-    t = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text).alias("tid"), kept.alias("p"))
-    n = F.size("p")
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), n - (run - 1)))
+RUNS = "array<struct<i:int,j:int,h:bigint>>"
+
+
+def runs_of(text: Column, run: int, least: int) -> Column:
+    """Runs of a text: first and last sentence and hash.  Sentences of white space alone are no sentences."""
+
+    def one(s: Column, i: Column) -> Column:
+        return let(normal(s), lambda x: F.struct(i.cast("int").alias("i"), F.xxhash64(x).alias("h"), F.when(x == "", 0).otherwise(F.size(F.split(x, " "))).alias("w")))
 
-    def one(k: Column) -> Column:
-        part = F.slice(F.col("p"), k, run)
-        return F.struct(
-            part[0]["i"].cast("int").alias("i"), F.element_at(part, -1)["i"].cast("int").alias("j"),
-            F.xxhash64(F.transform(part, lambda p: p["h"])).alias("h"), F.aggregate(part, F.lit(0), lambda a, p: a + p["w"]).alias("w"),
-        )
+    def runs(p: Column) -> Column:
+        n = F.size(p)
 
-    runs = F.filter(F.when(n > 0, F.transform(starts, one)).otherwise(F.array().cast("array<struct<i:int,j:int,h:bigint,w:int>>")), lambda x: x["w"] >= least)
-    return t.select("id", "tid", runs.alias("runs"))
+        def at(k: Column) -> Column:
+            def made(part: Column) -> Column:
+                return F.struct(
+                    part[0]["i"].alias("i"), F.element_at(part, -1)["i"].alias("j"), F.xxhash64(F.transform(part, lambda x: x["h"])).alias("h"),
+                    F.aggregate(part, F.lit(0), lambda a, x: a + x["w"]).alias("w"),
+                )
+
+            return let(F.slice(p, k, run), made)
+
+        every = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - (run - 1))), at)
+        long = F.transform(F.filter(every, lambda x: x["w"] >= least), lambda x: F.struct(x["i"].alias("i"), x["j"].alias("j"), x["h"].alias("h")))
+        return F.when(n > 0, long).otherwise(F.array().cast(RUNS))
+
+    return let(F.filter(F.transform(sentences(text), one), lambda p: p["w"] > 0), runs)
 
 
 def repeated(docs: DataFrame, run: int = RUN, least: int = LEAST) -> DataFrame:
     """(id, tid, cut): numbers of the sentences to remove, of the texts that have any."""
-    runs = with_runs(docs, run, least).select("id", "tid", F.explode("runs").alias("r")).select("id", "tid", "r.h", "r.i", "r.j")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    runs = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text).alias("tid"), F.explode(runs_of(text, run, least)).alias("r"))
+    runs = runs.select("id", "tid", "r.h", "r.i", "r.j")
     runs = runs.groupBy("h", "id", "tid", "i", "j").agg(F.count(F.lit(1)).alias("c"))  # equal rows are one
     runs = written(runs.drop("c"))
     first = runs.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "tid", "i")).alias("f")).where("n > 1").select("h", "f")
