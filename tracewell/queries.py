@@ -1,0 +1,840 @@
+"""The queries of the engine over the test tables, and the same results in DuckDB SQL.
+
+What stands for what: documents are files and pages program output; error events are failures, signups are changes,
+orders are declarations (intervals of lines), line items are calls; conversations are usage.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .functions.numbers import bucket, strict_sum
+from .operators import combine, facts, graph, ledgers, parsers, profiles, rank, search
+from .plans import dag, pipeline
+from .sources import tables as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+LINES = """lines as (select file, i as line, regexp_replace(l[i], chr(13) || '$', '') as text from
+ (select file, case when l[len(l)] = '' then l[1:len(l)-1] else l end as l from
+   (select cast(doc_id as varchar) as file, string_split(text, chr(10)) as l from documents)) t, unnest(range(1, len(l) + 1)) as r(i))"""
+PAGE_LINES = """lines as (select file, i as line, l[i] as text from
+ (select cast(page_id as varchar) as file, string_split(replace(html, '><', '>' || chr(10) || '<'), chr(10)) as l from pages) t, unnest(range(1, len(l) + 1)) as r(i))"""
+FAILS = """fails as (select cast(event_id as varchar) as test, 'E' || cast(cast(regexp_extract(props, '[0-9]+') as bigint) % 7 as varchar) as failure_class,
+ cast(user_id as varchar) as file, cast(floor(value) as bigint) as line, cast(day(ts) as bigint) as run_id,
+ case when day(ts) <= 15 then 'g1' else 'g2' end as generation from events where event_type = 'error')"""
+CHANGED = """changed as (select cast(user_id as varchar) as file, case when day(ts) <= 15 then 'g1' else 'g2' end as generation
+ from events where event_type = 'signup' group by all having count(*) > 6)"""
+DECLS = """decls as (select 's' || cast(o_orderkey as varchar) as symbol, o_orderpriority as kind, cast(o_custkey % 150 as varchar) as file,
+ o_orderkey % 150 as line_a, o_orderkey % 150 + 5 + o_orderkey % 40 as line_b from orders where o_custkey % 3 <> 0)"""
+EDGES = """edges as (select distinct l_partkey % 200 as src, l_suppkey * 7 % 200 as dst, cast(l_linenumber as bigint) as line,
+ case l_returnflag when 'A' then 'local' when 'N' then 'import' else 'repo' end as tier from lineitem
+ where l_linenumber <= 2 and (l_partkey % 200 + l_suppkey * 7 % 200) % 11 = 0)"""
+INNER = """inner_ as (select f.*, d.symbol, row_number() over (partition by test order by line_b - line_a, -line_a, symbol) as rn
+ from fails f join decls d on f.file = d.file and f.line between d.line_a and d.line_b)"""
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def _q(spark, sf_dir, text):
+    return pipeline.run(pipeline.Context(spark, sf_dir), text)
+
+
+# -- scans and search ---------------------------------------------------------------------------------------------
+
+
+@query("search_sites", f"with {LINES} select file, line, cast(instr(text, regexp_extract(text, 'erly|thand')) as bigint) as col_a, cast(instr(text, regexp_extract(text, 'erly|thand')) + length(regexp_extract(text, 'erly|thand')) as bigint) as col_b, text from lines where regexp_matches(text, 'erly|thand')")
+def search_sites(spark, d):
+    return _q(spark, d, "search case:yes 'erly|thand'").df
+
+
+@query("search_any_all", f"with {LINES} select file, line, text from lines where (contains(text, 'erly') or contains(text, 'thand')) and file in (select file from lines group by file having bool_or(contains(text, 'erly')) and bool_or(contains(text, 'thand')))")
+def search_any_all(spark, d):
+    return _q(spark, d, "search --all case:yes erly thand").df.select("file", "line", "text")
+
+
+@query("search_indexed", f"with {LINES} select file, line from lines where regexp_matches(text, 'oner(edt|ly)')")
+def search_indexed(spark, d):
+    docs = S.table(spark, d, "documents")
+    q = search.parse_query(["case:yes", "oner(edt|ly)"])
+    return search.indexed_sites(docs, "doc_id", lambda x: S.lines(x, "doc_id"), q).select("file", "line")
+
+
+@query("search_context", f"with {LINES}, hits as (select file, line from lines where contains(text, 'erly')) select distinct l.file, l.line, l.text from lines l join hits h on l.file = h.file and l.line between h.line - 2 and h.line + 2")
+def search_context(spark, d):
+    return _q(spark, d, "search case:yes erly | get --context 2").df
+
+
+@query("context_windows", f"""with {LINES}, hits as (select file, line, case when line - lag(line) over (partition by file order by line) <= 5 then 0 else 1 end as new from lines where contains(text, 'erly')),
+ isl as (select *, sum(new) over (partition by file order by line) as g from hits) select file, greatest(min(line) - 2, 1) as first, max(line) + 2 as last from isl group by file, g""")
+def context_windows(spark, d):
+    return search.windows(_q(spark, d, "search case:yes erly").df, 2)
+
+
+@query("trigram_candidates", "select cast(doc_id as varchar) as file from documents where contains(lower(text), 'one') and contains(lower(text), 'ner') and contains(lower(text), 'red')")
+def trigram_candidates(spark, d):
+    index = search.trigram_index(S.table(spark, d, "documents"), "doc_id")
+    return search.candidates(index, ["and", "oner", "red"])
+
+
+@query("where_eq", "select event_id, event_type from events where event_type = 'click'")
+def where_eq(spark, d):
+    return _q(spark, d, "records events | where event_type=click").df.select("event_id", "event_type")
+
+
+@query("where_neq", "select event_id, event_type from events where event_type <> 'click'")
+def where_neq(spark, d):
+    return _q(spark, d, "records events | where event_type!=click").df.select("event_id", "event_type")
+
+
+@query("where_sub", "select p_partkey, p_name from part where contains(p_name, 'ring')")
+def where_sub(spark, d):
+    return _q(spark, d, "records part | where p_name~ring").df.select("p_partkey", "p_name")
+
+
+@query("where_missing_field", "select n_nationkey from nation where '' = ''")
+def where_missing_field(spark, d):
+    return _q(spark, d, "records nation | where nothing=").df.select("n_nationkey")
+
+
+@query("group_top", f"""with {LINES}, h as (select file, line from lines where contains(text, 'erly')), g as (select file, count(*) as n, row_number() over (order by count(*) desc, file) as r from h group by file)
+ select h.file, h.line, g.n as group_n from h join g on h.file = g.file where r <= 3""")
+def group_top(spark, d):
+    f = _q(spark, d, "search case:yes erly | group file | top 3")
+    return f.df.select("file", "line", F.col("_n").alias("group_n"))
+
+
+@query("group_where_count", 'select event_type as "group", count(*) as n from events where user_id < 50 and event_type <> \'view\' group by 1')
+def group_where_count(spark, d):
+    f = _q(spark, d, "records events | where event_type!=view | group event_type")
+    return combine.count(f.df.where("user_id < 50"), "event_type")
+
+
+@query("top_omitted", f"with {LINES} select cast(greatest(count(*) - 7, 0) as bigint) as omitted, cast(least(count(*), 7) as bigint) as shown from lines where contains(text, 'erly')")
+def top_omitted(spark, d):
+    f = _q(spark, d, "search case:yes erly | top 7")
+    return f.omitted[0].select(F.col("n").cast("long").alias("omitted")).crossJoin(f.df.agg(F.count(F.lit(1)).alias("shown")))
+
+
+@query("distinct_field", "select distinct p_brand as value from part")
+def distinct_field(spark, d):
+    return _q(spark, d, "records part | distinct p_brand").df
+
+
+@query("hist_numeric", """with e as (select min(l_quantity) as lo, max(l_quantity) as hi from lineitem), b as (select case when hi > lo then least(9, cast(floor((l_quantity - lo) / ((hi - lo) / 10)) as bigint)) else 0 end as bucket, count(*) as n from lineitem, e group by 1)
+ select r.i as bucket, round(lo + r.i * (hi - lo) / 10, 6) as from_value, round(lo + (r.i + 1) * (hi - lo) / 10, 6) as to_value, cast(coalesce(n, 0) as bigint) as n from e, range(10) r(i) left join b on b.bucket = r.i""")
+def hist_numeric(spark, d):
+    df = _q(spark, d, "records lineitem | histogram l_quantity --buckets 10").df
+    return df.withColumns({"from_value": F.round("from_value", 6), "to_value": F.round("to_value", 6)})
+
+
+@query("hist_categorical", "select p_brand as value, count(*) as n from part group by 1 order by n desc, value limit 5")
+def hist_categorical(spark, d):
+    return _q(spark, d, "records part | histogram p_brand --buckets 5").df
+
+
+@query("hist_categorical_omitted", "with t as (select p_brand, count(*) as n, row_number() over (order by count(*) desc, p_brand) as r from part group by 1) select cast(sum(n) as bigint) as n from t where r > 5")
+def hist_categorical_omitted(spark, d):
+    return _q(spark, d, "records part | histogram p_brand --buckets 5").omitted[0].select(F.col("n").cast("long").alias("n"))
+
+
+@query("corpus_select", r"select regexp_replace(url, '^[a-z]+://', '') as file, cast(strlen(html) as bigint) as size from pages where regexp_matches(regexp_replace(url, '^[a-z]+://', ''), '^(?:.*/)?[^/]*\.html(?:/.*)?$') and not regexp_matches(regexp_replace(url, '^[a-z]+://', ''), '^m\.[^/]*/(?:.*)?$')")
+def corpus_select(spark, d):
+    return _q(spark, d, "corpus --glob '*.html' --exclude 'm.*/**'").df
+
+
+@query("corpus_receipt", r"select count(*) as considered, cast(sum(regexp_matches(url, '\.html$')::int) as bigint) as selected from pages")
+def corpus_receipt(spark, d):
+    pages = S.table(spark, d, "pages")
+    return pages.agg(F.count(F.lit(1)).alias("considered"), F.sum(F.col("url").rlike("\\.html$").cast("long")).alias("selected"))
+
+
+@query("files_per_doc", f"with {LINES} select file, count(*) as n from lines where contains(text, 'erly') group by file")
+def files_per_doc(spark, d):
+    return _q(spark, d, "search case:yes erly | files").df
+
+
+@query("touched", "select cast(l_partkey as varchar) as file, count(*) as n from lineitem l join (select o_orderkey from orders where o_orderstatus = 'F') o on l.l_orderkey = o.o_orderkey group by 1")
+def touched(spark, d):
+    commits = S.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_partkey").cast("string")).alias("files"))
+    commits = commits.join(S.table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
+    return combine.files(commits.select(F.explode("files").alias("file")))
+
+
+@query("history_latest", "select o_custkey, o_orderkey, o_orderdate from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as r from orders) where r = 1")
+def history_latest(spark, d):
+    o = S.table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    return facts.latest(o, "o_custkey", ["o_orderdate", "o_orderkey"])
+
+
+@query("commits_filtered", "select o_orderkey, o_orderdate from orders where o_orderdate >= timestamp '1997-01-01' and o_orderdate < timestamp '1997-03-01' and o_orderpriority like '%URGENT%' order by o_orderdate desc, o_orderkey limit 40")
+def commits_filtered(spark, d):
+    o = S.table(spark, d, "orders").where("o_orderdate >= timestamp'1997-01-01' and o_orderdate < timestamp'1997-03-01'").where(F.col("o_orderpriority").contains("URGENT"))
+    return combine.top_rows(o.select("o_orderkey", "o_orderdate"), 40, [F.desc("o_orderdate"), F.col("o_orderkey")])[0]
+
+
+# -- records ------------------------------------------------------------------------------------------------------
+
+
+@query("records_json", "select event_id, cast(regexp_extract(props, '[0-9]+') as bigint) as k from events")
+def records_json(spark, d):
+    return S.table(spark, d, "events").select("event_id", profiles.pointer(F.col("props"), "/k").cast("long").alias("k"))
+
+
+@query("json_pointer", "select event_id, 'v' || regexp_extract(props, '[0-9]+') as a, cast(null as varchar) as missing from events where event_id < 500")
+def json_pointer(spark, d):
+    e = S.table(spark, d, "events").where("event_id < 500").withColumn("j", F.concat(F.lit('{"a/b": ["x", {"~c": "v'), F.regexp_extract("props", "[0-9]+", 0), F.lit('"}]}')))
+    return e.select("event_id", profiles.pointer(F.col("j"), "/a~1b/1/~0c").alias("a"), profiles.pointer(F.col("j"), "/a~1b/7").alias("missing"))
+
+
+@query("jsonl_profile", "select 'k' as key, count(*) as n from events")
+def jsonl_profile(spark, d):
+    return profiles.json_keys(S.table(spark, d, "events"), "props")
+
+
+@query("json_shape")
+def json_shape(spark, d):
+    return profiles.json_shape(S.table(spark, d, "events"), "props")
+
+
+@query("records_slice", "select event_id, ts from (select *, row_number() over (order by event_id) as r from events) where r between 101 and 120")
+def records_slice(spark, d):
+    e = S.table(spark, d, "events").select("event_id", "ts").orderBy("event_id").limit(120)
+    return e.orderBy(F.desc("event_id")).limit(20)
+
+
+# -- text ---------------------------------------------------------------------------------------------------------
+
+MASKED = "text"
+for _m in T.MASKS:
+    MASKED = f"regexp_replace({MASKED}, '{_m}', '<*>', 'g')"
+TOKEN = "case when regexp_matches(text, '[0-9]') then regexp_replace(" + MASKED + f", '{T.COLLAPSE}', '<*>', 'g') else text end"
+TEMPLATE = "array_to_string(list_transform(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\x0B]+'), lambda t: t <> ''), lambda t: " + TOKEN.replace("text", "t").replace("<*>", "<*>") + "), ' ')"
+TEMPLATES = "tpl as (select file, line, text, " + TEMPLATE + " as template from lines where regexp_matches(text, '[^ \\t\\r\\n\\f\\x0B]'))"
+
+
+@query("templates", f"with {LINES}, {TEMPLATES} select template, count(*) as n, arg_min(file, file || '/' || lpad(cast(line as varchar), 9, '0')) as first_file from tpl group by template")
+def templates(spark, d):
+    rows = S.document_lines(spark, d)
+    t = rows.where(F.col("text").rlike("[^ \\t\\r\\n\\f\\x0B]")).withColumn("template", T.template(F.col("text")))
+    return t.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.min("file").alias("first_file"))
+
+
+SQL["templates"] = f"with {LINES}, {TEMPLATES} select template, count(*) as n, min(file) as first_file from tpl group by template"
+
+
+@query("templates_exceptional", f"with {LINES}, {TEMPLATES}, c as (select file, template, count(*) as n from tpl group by all) select t.file, t.line, t.text, c.n from tpl t join c on t.file = c.file and t.template = c.template where c.n <= 2")
+def templates_exceptional(spark, d):
+    return profiles.exceptional(S.document_lines(spark, d))
+
+
+@query("template_diff", f"""with {LINES}, {TEMPLATES}, a as (select template, count(*) as a from tpl where cast(file as bigint) % 2 = 0 group by 1), b as (select template, count(*) as b from tpl where cast(file as bigint) % 2 = 1 group by 1),
+ j as (select coalesce(a.template, b.template) as template, coalesce(a, 0) as a, coalesce(b, 0) as b from a full join b on a.template = b.template)
+ select *, case when a = 0 then 'only-b' when b = 0 then 'only-a' else 'shift' end as change from j where a = 0 or b = 0 or a > 2 * b or b > 2 * a""")
+def template_diff(spark, d):
+    rows = S.document_lines(spark, d)
+    side = lambda k: profiles.templates(rows.where(F.col("file").cast("long") % 2 == k)).select("template", "n")
+    return facts.template_diff(side(0), side(1))
+
+
+@query("failure_diff", f"with {FAILS}, a as (select distinct file, failure_class from fails where run_id = 3), b as (select distinct file, failure_class from fails where run_id = 4) select *, 'resolved' as change from (from a except from b) union all select *, 'new' as change from (from b except from a)")
+def failure_diff(spark, d):
+    f = S.fails(spark, d)
+    return facts.failure_diff(f.where("run_id = 3"), f.where("run_id = 4"), ["file", "failure_class"])
+
+
+def _sql_rank(c: str) -> str:
+    q = lambda p: "'" + p.replace("'", "''") + "'"
+    decisive = " or ".join(f"regexp_matches({c}, {q(p)})" for p in T.DECISIVE)
+    return f"case when regexp_matches({c}, {q(T.BENIGN)}) then -1 when {decisive} then 3 when regexp_matches({c}, {q(T.COORDINATE)}) then 2 when regexp_matches({c}, {q(T.WEAK)}) then 1 else 0 end"
+
+
+NOISY = "noisy as (select file, line, case line % 9 when 0 then 'no errors in ' || text when 1 then 'src/a.py:' || line || ' ' || text when 2 then '3 failed: ' || text when 3 then 'cannot open ' || text when 4 then 'exit code ' || line || ' ' || text else text end as text from lines)"
+
+
+def _noisy(spark, d):
+    rows, i = S.document_lines(spark, d), F.col("line").cast("string")
+    c = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x], F.col("text"))
+    k = F.pmod("line", F.lit(9))
+    text = F.when(k == 0, c("no errors in ")).when(k == 1, c("src/a.py:", i, " ")).when(k == 2, c("3 failed: ")).when(k == 3, c("cannot open ")).when(k == 4, c("exit code ", i, " ")).otherwise(F.col("text"))
+    return rows.select("file", "line", text.alias("text"))
+
+
+@query("signal_rank", f"with {LINES}, {NOISY} select file, line, cast({_sql_rank('text')} as bigint) as rank from noisy where {_sql_rank('text')} <> 0")
+def signal_rank(spark, d):
+    rows = _noisy(spark, d).select("file", "line", T.signal_rank(F.col("text")).cast("long").alias("rank"))
+    return rows.where("rank <> 0")
+
+
+@query("signal_census", f"with {LINES}, {NOISY} select cast({_sql_rank('text')} as bigint) as rank, count(*) as n from noisy group by 1")
+def signal_census(spark, d):
+    return _noisy(spark, d).groupBy(T.signal_rank(F.col("text")).cast("long").alias("rank")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("redaction_counts", "select * from (" + " union all ".join(f"select '{n}' as name, cast(sum(len(regexp_extract_all(text, '{p}'))) as bigint) as n from documents" for n, p in T.SECRETS) + ") where n > 0")
+def redaction_counts(spark, d):
+    docs = S.table(spark, d, "documents")
+    one = docs.agg(*[F.sum(T.secret_count(F.col("text"), n)).alias(n) for n, _ in T.SECRETS])
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"`{n}`").alias("n")) for n, _ in T.SECRETS]))
+    return one.select(pairs.alias("x")).select("x.name", "x.n").where("n > 0")
+
+
+_REDACTED = "text"
+for _n, _p in T.SECRETS:
+    _REDACTED = f"regexp_replace({_REDACTED}, '{_p}', '[redacted:{_n}]', 'g')"
+
+
+@query("redacted_documents", f"select doc_id, md5({_REDACTED}) as redacted_md5 from documents")
+def redacted_documents(spark, d):
+    return S.table(spark, d, "documents").select("doc_id", F.md5(T.redact(F.col("text"))).alias("redacted_md5"))
+
+
+@query("token_prices", "select doc_id, cast(case when strlen(text) > 0 then greatest(1, strlen(text) // 4) else 0 end as bigint) as tokens from documents")
+def token_prices(spark, d):
+    return S.table(spark, d, "documents").select("doc_id", T.token_price(F.col("text")).alias("tokens"))
+
+
+@query("cleaned_text", "select doc_id, md5(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g')) as clean_md5 from documents where not contains(text, chr(27)) and not contains(text, chr(13)) and not contains(text, chr(133)) and not contains(text, chr(8232)) and not contains(text, chr(8233))")
+def cleaned_text(spark, d):
+    docs = S.table(spark, d, "documents").where(~F.col("text").rlike("[\\x1b\\r\\u0085\\u2028\\u2029]"))
+    return docs.select("doc_id", F.md5(T.clean(F.col("text"))).alias("clean_md5"))
+
+
+SLOTS = """sl as (select *, list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\x0B]+'), lambda t: t <> '') as toks from lines),
+ sk as (select file, line, array_to_string(list_transform(toks, lambda t: case when regexp_matches(t, '[0-9/''"`@=]') then '<*>' else t end), ' ') as skeleton, list_filter(toks, lambda t: regexp_matches(t, '[0-9/''"`@=]')) as vals from sl)"""
+
+
+@query("evmap_slots", f"with {PAGE_LINES}, {SLOTS}, e as (select skeleton, vals[i] as v, i - 1 as slot from sk, unnest(range(1, len(vals) + 1)) as r(i)) select skeleton, slot, count(distinct v) as n_values, min(v) as lo, max(v) as hi, count(*) as n from e group by skeleton, slot")
+def evmap_slots(spark, d):
+    return profiles.slot_values(S.page_lines(spark, d))
+
+
+@query("evmap_messages", f"""with {PAGE_LINES}, {SLOTS}, e as (select skeleton, vals[i] as v, i as slot from sk, unnest(range(1, len(vals) + 1)) as r(i)), size as (select skeleton, count(*) as lines from sk group by 1),
+ d as (select skeleton, slot, count(distinct v) as d from e group by all), s as (select skeleton, list(slot order by slot) as by_ from d join size using (skeleton) where d <= 8 and (d < lines or lines <= 2) group by skeleton)
+ select sk.skeleton, coalesce(array_to_string(list_transform(by_, lambda i: vals[i]), '|'), '') as split, count(*) as n from sk left join s on sk.skeleton = s.skeleton group by 1, 2""")
+def evmap_messages(spark, d):
+    return profiles.messages(S.page_lines(spark, d)).select("skeleton", "split", "n")
+
+
+# -- joins over facts ---------------------------------------------------------------------------------------------
+
+
+@query("root_cause_join", f"""with {FAILS}, {CHANGED}, {DECLS}, {INNER}, t as (select file from changed where generation = 'g2')
+ select test, file, line, failure_class, symbol, 'symbol' as precision from inner_ where rn = 1 and file in (from t)
+ union all select test, file, line, failure_class, null, 'file' from fails where file in (from t) and file not in (select file from decls)""")
+def root_cause_join(spark, d):
+    out = facts.root_cause(S.fails(spark, d), S.changed(spark, d), S.decls(spark, d), "g2")
+    return out.select("test", "file", "line", "failure_class", "symbol", "precision")
+
+
+@query("untouched_anti", f"with {FAILS}, {CHANGED} select test, file from fails where file not in (select file from changed where generation = 'g2') and exists (select 1 from changed where generation = 'g2')")
+def untouched_anti(spark, d):
+    return facts.untouched(S.fails(spark, d), S.changed(spark, d), "g2").select("test", "file")
+
+
+@query("untouched_unknown_generation", f"with {FAILS} select test, file from fails where 1 = 0")
+def untouched_unknown_generation(spark, d):
+    return facts.untouched(S.fails(spark, d), S.changed(spark, d), "g9").select("test", "file")
+
+
+@query("shared_cause", f"""with {FAILS}, {DECLS}, {INNER} select 'class' as axis, file, failure_class as key, count(distinct test) as n, string_agg(distinct test, ',' order by test) as tests from fails group by all having count(distinct test) >= 2
+ union all select 'symbol', file, symbol, count(distinct test), string_agg(distinct test, ',' order by test) from inner_ where rn = 1 group by file, symbol having count(distinct test) >= 2""")
+def shared_cause(spark, d):
+    return facts.shared_cause(S.fails(spark, d), S.decls(spark, d))
+
+
+@query("shared_cause_stage", f"with {FAILS} select file, failure_class, count(distinct test) as n, string_agg(distinct test, ',' order by test) as tests from fails where run_id = (select max(run_id) from fails) group by all having count(distinct test) >= 2")
+def shared_cause_stage(spark, d):
+    return _q(spark, d, "fails last | shared-cause").df
+
+
+@query("in_changed_semi", f"with {FAILS}, {CHANGED}, {DECLS}, {INNER} select f.test, f.file, i.symbol from fails f left join (select test, symbol from inner_ where rn = 1) i on f.test = i.test where f.run_id = (select max(run_id) from fails) and f.file in (select file from changed where generation = 'g1')")
+def in_changed_semi(spark, d):
+    return _q(spark, d, "fails last | in-changed g1").df.select("test", "file", "symbol")
+
+
+@query("symbol_neighbors", f"""with {DECLS}, own as (select distinct file from decls where symbol = 's7'), imp as (select distinct cast(l_suppkey % 150 as varchar) as file, 'm.' || cast(l_partkey % 150 as varchar) as module from lineitem where l_linenumber = 1)
+ select 'imported-by' as relation, i.file as name from imp i join own o on i.module = o.file or ends_with(i.module, '.' || o.file) union select 'imports', module from imp where file in (from own)
+ union select 'sibling', symbol from decls where file in (from own) and symbol <> 's7'""")
+def symbol_neighbors(spark, d):
+    li = S.table(spark, d, "lineitem").where("l_linenumber = 1")
+    imports = li.select((F.col("l_suppkey") % 150).cast("string").alias("file"), F.concat(F.lit("m."), (F.col("l_partkey") % 150).cast("string")).alias("module")).distinct()
+    return facts.neighbors(S.decls(spark, d), imports, "s7")
+
+
+@query("decls_named", f"with {DECLS} select symbol, file, line_a from decls where symbol = 's77' or ends_with(symbol, '.s77') or ends_with('s77', '.' || symbol)")
+def decls_named(spark, d):
+    return _q(spark, d, "decls s77").df.select("symbol", "file", "line_a")
+
+
+@query("call_targets", """with calls as (select l_orderkey * 10 + l_linenumber as call, cast(l_partkey % 50 as varchar) as name, l_suppkey % 7 as home from lineitem where l_linenumber <= 2),
+ t as (select cast(p_partkey % 50 as varchar) as name, p_partkey as target, p_size % 7 as home from part), j as (select call, name, target, case when c.home = t.home then 0 when (c.home + t.home) % 3 = 0 then 1 else 2 end as tier from calls c join t using (name) where call % 5 = 0)
+ select call, name, target, cast(tier as bigint) as tier from j qualify tier = min(tier) over (partition by call)""")
+def call_targets(spark, d):
+    li = S.table(spark, d, "lineitem").where("l_linenumber <= 2")
+    calls = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call"), (F.col("l_partkey") % 50).cast("string").alias("name"), (F.col("l_suppkey") % 7).alias("h")).where("call % 5 = 0")
+    targets = S.table(spark, d, "part").select((F.col("p_partkey") % 50).cast("string").alias("name"), F.col("p_partkey").alias("target"), (F.col("p_size") % 7).alias("g"))
+    tier = F.when(F.col("h") == F.col("g"), 0).when((F.col("h") + F.col("g")) % 3 == 0, 1).otherwise(2)
+    return facts.best_tier(calls, targets, tier).select("call", "name", "target", F.col("tier").cast("long").alias("tier"))
+
+
+@query("import_prefix", "with n as (select distinct p_type || '.' || p_brand || '.' || p_name as name from part), m as (select distinct p_type as module from part union select distinct p_type || '.' || p_brand from part where p_size > 25) select name, arg_max(module, length(module)) as module from n join m on name = module or starts_with(name, module || '.') group by name")
+def import_prefix(spark, d):
+    p = S.table(spark, d, "part")
+    names = p.select(F.concat_ws(".", "p_type", "p_brand", "p_name").alias("name")).distinct()
+    modules = p.select(F.col("p_type").alias("module")).union(p.where("p_size > 25").select(F.concat_ws(".", "p_type", "p_brand"))).distinct()
+    return facts.longest_prefix(names, modules)
+
+
+@query("asof_event", "select e.event_id, e.user_id, e.ts, o.value from (select * from events where event_type = 'error') e asof left join (select user_id, ts, max(value) as value from events where event_type = 'view' group by all) o on e.user_id = o.user_id and o.ts <= e.ts")
+def asof_event(spark, d):
+    e = S.table(spark, d, "events")
+    views = e.where("event_type = 'view'").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
+    return facts.as_of(e.where("event_type = 'error'").select("event_id", "user_id", "ts"), views, "user_id", "ts", "value").select("event_id", "user_id", "ts", "value")
+
+
+# -- graphs -------------------------------------------------------------------------------------------------------
+
+
+@query("callers", f"with {EDGES} select cast(src as varchar) as symbol, line, tier from edges where dst = 21 and tier <> 'repo'")
+def callers(spark, d):
+    return _q(spark, d, "callers 21").df
+
+
+@query("callers_hidden", f"with {EDGES} select count(*) as n from edges where dst = 21 and tier = 'repo'")
+def callers_hidden(spark, d):
+    return _q(spark, d, "callers 21").omitted[0]
+
+
+@query("callees", f"with {EDGES} select cast(dst as varchar) as symbol, min(line) as line, min(tier) as tier from edges where src = 34 and tier <> 'repo' group by dst")
+def callees(spark, d):
+    return _q(spark, d, "callees 34").df
+
+
+@query("impact_depth", f"""with recursive {EDGES}, b as (select distinct dst as s, src as t from edges where tier <> 'repo'), r(node, depth) as (select t, 1 from b where s = 21 union select t, depth + 1 from r join b on b.s = r.node where depth < 3)
+ select cast(node as varchar) as symbol, cast(min(depth) as bigint) as depth from r group by node""")
+def impact_depth(spark, d):
+    return _q(spark, d, "impact 21 --depth 3").df
+
+
+@query("impact_hidden", f"""with recursive {EDGES}, a as (select distinct dst as s, src as t, tier from edges), r(node, depth) as (select t, 1 from a where s = 21 and tier <> 'repo' union select t, depth + 1 from r join a on a.s = r.node where depth < 2 and tier <> 'repo'),
+ u(node, depth) as (select t, 1 from a where s = 21 union select t, depth + 1 from u join a on a.s = u.node where depth < 2) select count(distinct node) as n from u where node not in (select node from r)""")
+def impact_hidden(spark, d):
+    return graph.impact_hidden(S.edges(spark, d), 21, 2)
+
+
+@query("impls", "with recursive e as (select r_name as base, n_name as sub from region join nation on r_regionkey = n_regionkey union select n_name, 'c' || cast(c_custkey as varchar) from nation join customer on n_nationkey = c_nationkey), r(node, depth) as (select sub, 1 from e where base = 'ASIA' union select sub, depth + 1 from r join e on e.base = r.node where depth < 6) select node as symbol, cast(min(depth) as bigint) as depth from r group by node")
+def impls(spark, d):
+    n, c, r = (S.table(spark, d, t) for t in ("nation", "customer", "region"))
+    e = r.join(n, F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("r_name").alias("base"), F.col("n_name").alias("sub"))
+    e = e.union(n.join(c, F.col("n_nationkey") == F.col("c_nationkey")).select("n_name", F.concat(F.lit("c"), F.col("c_custkey").cast("string"))))
+    return graph.closure(e.distinct(), "ASIA")
+
+
+_STEP = "r{i} as (select n.node, 0.15 + 0.85 * coalesce(sum(p.score / d.deg), 0) as score from nodes n left join e on e.dst = n.node left join r{p} p on p.node = e.src left join d on d.src = e.src group by n.node)"
+
+
+@query("pagerank", f"with {EDGES}, e as (select distinct src, dst from edges), nodes as (select src as node from e union select dst from e), d as (select src, count(*) as deg from e group by src), r0 as (select node, 1.0::double as score from nodes), " + ", ".join(_STEP.format(i=i, p=i - 1) for i in range(1, 11)) + " select node, round(score, 6) as score from r10")
+def pagerank(spark, d):
+    return graph.pagerank(S.edges(spark, d)).select("node", F.round("score", 6).alias("score"))
+
+
+SCC_EDGES = "e as (select distinct o_custkey % 60 as src, o_orderkey % 60 as dst from orders where o_orderkey < 260 and (o_custkey + o_orderkey) % 3 = 0)"
+
+
+@query("scc", f"with recursive {SCC_EDGES}, r(a, b) as (select src, dst from e union select a, dst from r join e on e.src = r.b) select x.a as node, min(x.b) as component from r x join r y on x.a = y.b and x.b = y.a group by x.a")
+def scc(spark, d):
+    o = S.table(spark, d, "orders").where("o_orderkey < 260 and (o_custkey + o_orderkey) % 3 = 0")
+    return graph.cycles(o.select((F.col("o_custkey") % 60).alias("src"), (F.col("o_orderkey") % 60).alias("dst")).distinct())
+
+
+@query("gc_dead", f"with recursive {EDGES}, r(node, k) as (select 1, 0 union select 3, 0 union select dst, k + 1 from r join edges e on e.src = r.node where k < 6 and tier = 'local') select distinct src as node from edges where src not in (select node from r)")
+def gc_dead(spark, d):
+    e = S.edges(spark, d)
+    roots = spark.createDataFrame([(1,), (3,)], "node long")
+    return graph.dead(e.select(F.col("src").alias("node")).distinct(), roots, e.where("tier = 'local'"))
+
+
+# -- ranking and retrieval ----------------------------------------------------------------------------------------
+
+TASK = "find the `onerly` and thandinre of everyTion with oner"
+
+
+def _sql_pack() -> str:
+    ts = rank.terms(TASK)
+    tf = ", ".join(f"len(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda w: w = '{t}')) as t{i}" for i, (t, _) in enumerate(ts))
+    df = ", ".join(f"sum((t{i} > 0)::int) as d{i}" for i in range(len(ts)))
+    score = " + ".join(f"case when t{i} > 0 and d{i} <= 0.4 * n then {w!r} * ln(1 + n / (1 + d{i})) * (1 + ln(greatest(t{i}, 1))) else 0 end" for i, (_, w) in enumerate(ts))
+    return f"with x as (select cast(doc_id as varchar) as file, strlen(text) as size, {tf} from documents), df as (select count(*) as n, {df} from x), s as (select file, size, ({score}) / (1 + 0.15 * ln(1 + size / 20000.0)) as score from x, df) select file, round(score, 6) as score, cast(size as bigint) as size from s where score > 0"
+
+
+@query("tfidf_pack", _sql_pack())
+def tfidf_pack(spark, d):
+    return rank.pack(S.table(spark, d, "documents"), "doc_id", rank.terms(TASK)).withColumn("score", F.round("score", 6))
+
+
+@query("pack_budget", f"with p as ({_sql_pack()}), o as (select *, sum(size) over (order by score desc, file) as used from p) select file, cast(used as bigint) as used from o where used <= 60000")
+def pack_budget(spark, d):
+    p = tfidf_pack(spark, d)
+    return rank.fit(p, "size", 60000, [F.desc("score"), F.col("file")]).select("file", "used")
+
+
+@query("block_relevance", f"""with {LINES}, w as (select distinct file, (line - 1) // 5 as block, unnest(string_split(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g'), ' ')) as term from lines), f as (select * from w where term in ('onerly', 'thand', 'red', 'oner')),
+ df as (select file, term, count(*) as df from f group by all) select file, block, round(sum(1.0 / df), 6) as relevance from f join df using (file, term) group by all""")
+def block_relevance(spark, d):
+    rows = S.document_lines(spark, d)
+    b = rows.groupBy("file", F.floor((F.col("line") - 1) / 5).alias("block")).agg(F.array_join(F.collect_list("text"), " ").alias("text"))
+    return rank.block_relevance(b, ["onerly", "thand", "red", "oner"]).withColumn("relevance", F.round("relevance", 6))
+
+
+@query("lines_slice", f"with {LINES} select file, line, text from lines where file in ('3', '14') and line between 2 and 6")
+def lines_slice(spark, d):
+    docs = S.table(spark, d, "documents").where(F.col("doc_id").isin(3, 14))
+    return S.lines(docs, "doc_id").where("line between 2 and 6")
+
+
+@query("head_tail", f"with {LINES}, s as (select file, max(line) as total from lines group by file) select l.file, l.line, l.text, greatest(total - 4, 0) as hidden from lines l join s on l.file = s.file where line <= 2 or line > total - 2")
+def head_tail(spark, d):
+    return profiles.head_tail(S.document_lines(spark, d), 2).select("file", "line", "text", "hidden")
+
+
+@query("chunk_best", f"with {LINES}, {NOISY}, c as (select file, (line - 1) // 10 as chunk, line, cast({_sql_rank('text')} as bigint) as rank from noisy) select file, chunk, min(line) as first, max(line) as last, arg_max(line, rank * 1000000 + line) as line, max(rank) as rank from c group by file, chunk")
+def chunk_best(spark, d):
+    return profiles.chunk_best(_noisy(spark, d), T.signal_rank(F.col("text")), 10)
+
+
+@query("anchor_relocate", f"""with {LINES}, h as (select file, line, substr(sha256(text), 1, 16) as h from lines), w as (select file, line, list(h) over (partition by file order by line rows between current row and 2 following) as hs from h),
+ a as (select file, line, substr(sha256(array_to_string(hs, '')), 1, 8) as anchor from w where len(hs) = 3), want as (select file, line + 2 as line, anchor from a where line % 7 = 0 union all select file, line, 'none' from a where line % 11 = 0),
+ j as (select want.file, want.line, want.anchor, a.line as pos, row_number() over (partition by want.file, want.line, want.anchor order by abs(a.line - want.line), a.line) as r from want left join a on want.file = a.file and want.anchor = a.anchor)
+ select file, line, pos as "at", case when pos is null then 'refused' when pos = line then 'verified' else 'moved' end as status from j where r = 1""")
+def anchor_relocate(spark, d):
+    a = profiles.anchors(S.document_lines(spark, d), 3)
+    want = a.where("line % 7 = 0").select("file", (F.col("line") + 2).alias("line"), "anchor")
+    want = want.union(a.where("line % 11 = 0").select("file", "line", F.lit("none")))
+    return profiles.relocate(want, a)
+
+
+@query("regions", "with x as (select distinct cast(l_orderkey % 300 as varchar) as path, cast(l_partkey % 400 as bigint) as n from lineitem), g as (select *, case when n - lag(n) over (partition by path order by n) <= 2 then 0 else 1 end as new from x), i as (select *, sum(new) over (partition by path order by n) as s from g) select path, min(n) as first, max(n) as last from i group by path, s")
+def regions(spark, d):
+    li = S.table(spark, d, "lineitem")
+    return profiles.regions(li.select((F.col("l_orderkey") % 300).cast("string").alias("path"), (F.col("l_partkey") % 400).alias("n")))
+
+
+@query("trajectory_prf", """with f as (select distinct cast(l_orderkey % 200 as varchar) as path, l_partkey % 300 as n from lineitem where l_linenumber = 1), g as (select distinct cast(l_orderkey % 200 as varchar) as path, l_partkey % 300 as n from lineitem where l_linenumber = 2),
+ j as (select coalesce(f.path, g.path) as path, f.n as a, g.n as b from f full join g on f.path = g.path and f.n = g.n), s as (select path, count(a) as found, count(b) as gold, count(case when a is not null and b is not null then 1 end) as shared from j group by path)
+ select path, found, gold, shared, round(case when found > 0 then shared / found else 0 end, 6) as precision, round(case when gold > 0 then shared / gold else 0 end, 6) as recall, round(case when shared > 0 then 2.0 * shared / (found + gold) else 0 end, 6) as f1 from s""")
+def trajectory_prf(spark, d):
+    li = S.table(spark, d, "lineitem").select((F.col("l_orderkey") % 200).cast("string").alias("path"), (F.col("l_partkey") % 300).alias("n"), "l_linenumber")
+    out = profiles.overlap(li.where("l_linenumber = 1"), li.where("l_linenumber = 2"))
+    return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+
+
+@query("fill_forward", f"with {LINES} select file, line, last_value(case when starts_with(text, 'The') then line end ignore nulls) over (partition by file order by line rows between unbounded preceding and current row) as owner from lines")
+def fill_forward(spark, d):
+    return profiles.fill_forward(S.document_lines(spark, d), F.col("text").startswith("The"), F.col("line")).select("file", "line", "owner")
+
+
+@query("repository_stats", "select lang, count(*) as files, cast(sum(strlen(text)) as bigint) as bytes, max(strlen(text)) as largest from documents group by lang")
+def repository_stats(spark, d):
+    n = F.octet_length("text").cast("long")
+    return S.table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("files"), F.sum(n).alias("bytes"), F.max(n).alias("largest"))
+
+
+@query("id_prefix", "select cast(doc_id as varchar) as id from documents where starts_with(sha256(text), '0a')")
+def id_prefix(spark, d):
+    return S.table(spark, d, "documents").where(F.sha2("text", 256).startswith("0a")).select(F.col("doc_id").cast("string").alias("id"))
+
+
+# -- profiles -----------------------------------------------------------------------------------------------------
+
+_COLS = ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+
+
+def _sql_kind(c: str) -> str:
+    tests = " ".join(f"when regexp_matches(trim({c}), '{t}') then '{n}'" for n, t in profiles.KIND_TESTS)
+    return f"case when trim({c}) = '' then 'empty' {tests} else 'text' end"
+
+
+@query("delimited_profile", "with r as (select cast(c_custkey as varchar) || ';' || c_name || ';' || case when c_custkey % 10 = 0 then '' else cast(c_nationkey as varchar) end || ';' || cast(c_custkey % 7 + 0.5 as varchar) || ';' || c_mktsegment as line from customer), "
+    "c as (select (['a', 'b', 'c', 'd', 'e'])[i] as \"column\", string_split(line, ';')[i] as cell from r, range(1, 6) t(i)), k as (select *, " + _sql_kind("cell") + " as kind from c), "
+    "s as (select \"column\", count(*) as cells, sum((kind = 'empty')::int) as empty, sum((kind <> 'empty')::int) as full_, sum((kind = 'int')::int) as ints, sum((kind in ('int', 'float'))::int) as nums, count(distinct case when kind <> 'empty' then cell end) as distinct_values, min(case when kind <> 'empty' then cell end) as lo, max(case when kind <> 'empty' then cell end) as hi, max(case when kind <> 'empty' then length(cell) end) as longest from k group by 1) "
+    "select \"column\", case when full_ = 0 then 'empty' when ints * 100 >= 95 * full_ then 'int' when nums * 100 >= 95 * full_ then 'float' else 'text' end as kind, cells, cast(empty as bigint) as empty, distinct_values, lo, hi, longest from s")
+def delimited_profile(spark, d):
+    c = S.table(spark, d, "customer")
+    line = F.concat_ws(";", F.col("c_custkey").cast("string"), "c_name", F.when(F.col("c_custkey") % 10 == 0, "").otherwise(F.col("c_nationkey").cast("string")), F.concat((F.col("c_custkey") % 7).cast("string"), F.lit(".5")), "c_mktsegment")
+    return profiles.delimited(c.select(line.alias("line")), ";", ["a", "b", "c", "d", "e"])
+
+
+@query("table_census", "with c as (select 'segment' as \"column\", c_mktsegment as cell from customer union all select 'name', c_name from customer union all select 'parity', cast(c_custkey % 2 as varchar) from customer), v as (select \"column\", cell as value, count(*) as n from c group by all), f as (select \"column\" from v group by 1 having count(*) between 2 and 8 and count(*) * 3 <= (select count(*) from customer)) select \"column\", value, n from v where \"column\" in (from f)")
+def table_census(spark, d):
+    c = S.table(spark, d, "customer")
+    cells = c.select(F.explode(F.array(*[F.struct(F.lit(n).alias("column"), v.cast("string").alias("cell")) for n, v in (("segment", F.col("c_mktsegment")), ("name", F.col("c_name")), ("parity", F.col("c_custkey") % 2))])).alias("x")).select("x.*")
+    return profiles.table_census(cells, c.count())
+
+
+@query("lint_census", f"with {LINES}, x as (select file, line, regexp_extract(text, '^([A-Z][a-z]+)', 1) as rule from lines where regexp_matches(text, '^[A-Z][a-z]+')) select rule, count(*) as n, count(distinct file) as files, min(line) as first, max(line) as last from x group by rule")
+def lint_census(spark, d):
+    x = S.document_lines(spark, d).withColumn("rule", F.regexp_extract("text", "^([A-Z][a-z]+)", 1)).where("rule <> ''")
+    return x.groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file").alias("files"), F.min("line").alias("first"), F.max("line").alias("last"))
+
+
+def _diffs(spark, d):
+    o = S.table(spark, d, "customer").where("c_custkey < 400")
+    k = F.col("c_custkey").cast("string")
+    body = F.concat(F.lit("--- a/f"), k, F.lit(".py\n+++ b/f"), k, F.lit(".py\n@@ -1,3 +1,4 @@\n x\n-- gone\n+++ not a header\n+b\n y\n@@ -9 +10,2 @@\n-q\n+r\n+s\n"))
+    return o.select("c_custkey", body.alias("text"))
+
+
+@query("diff_census", "select c_custkey, 'f' || cast(c_custkey as varchar) || '.py' as path, cast(2 as bigint) as hunks, cast(4 as bigint) as adds, cast(2 as bigint) as dels, cast(0 as bigint) as short_hunks from customer where c_custkey < 400")
+def diff_census(spark, d):
+    return parsers.per_text(_diffs(spark, d), "c_custkey", "text", parsers.DIFF, parsers.diff_census)
+
+
+@query("trace_cycles", "select c_custkey, cast(0 as bigint) as trace, cast(2 + 2 * (3 + c_custkey % 4) as bigint) as frames, cast(4 as bigint) as shown, cast(3 + c_custkey % 4 as bigint) as repeats, cast(2 as bigint) as period, 'KeyError: ' || cast(c_custkey as varchar) as error from customer where c_custkey < 400")
+def trace_cycles(spark, d):
+    c = S.table(spark, d, "customer").where("c_custkey < 400")
+    f = lambda n: f'  File "{n}.py", line 7, in {n}\n    call()\n'
+    text = F.concat(F.lit("Traceback (most recent call last):\n" + f("top")), F.repeat(F.lit(f("a") + f("b")), (F.col("c_custkey") % 4 + 3).cast("int")), F.lit(f("end") + "KeyError: "), F.col("c_custkey").cast("string"), F.lit("\n"))
+    return parsers.per_text(c.select("c_custkey", text.alias("text")), "c_custkey", "text", parsers.TRACE, parsers.traces)
+
+
+@query("pytest_report", "select c_custkey, 't/x.py::C::test_' || cast(c_custkey as varchar) as test, 'FAILED' as outcome, 'ValueError' as error, 't/x.py' as file, cast(c_custkey + 1 as bigint) as line from customer where c_custkey < 300")
+def pytest_report(spark, d):
+    c = S.table(spark, d, "customer").where("c_custkey < 300")
+    k = F.col("c_custkey").cast("string")
+    text = F.concat(F.lit("=== FAILURES ===\n____ C.test_"), k, F.lit(" ____\nt/y.py:3: in go\nE   ValueError: no\nt/x.py:"), (F.col("c_custkey") + 1).cast("string"), F.lit(": ValueError\n=== short test summary info ===\nFAILED t/x.py::C::test_"), k, F.lit(" - ValueError: no\n=== 1 failed in 0.1s ===\n"))
+    return parsers.per_text(c.select("c_custkey", text.alias("text")), "c_custkey", "text", parsers.TESTS, parsers.pytest_report)
+
+
+@query("chunk_map")
+def chunk_map(spark, d):
+    return parsers.per_text(S.table(spark, d, "documents"), "doc_id", "text", parsers.CHUNKS, parsers.chunk_map)
+
+
+@query("knapsack_select")
+def knapsack_select(spark, d):
+    return parsers.per_text(S.table(spark, d, "documents"), "doc_id", "text", parsers.SELECTED, parsers.select_blocks(["onerly", "thand", "red", "oner"], 600))
+
+
+# -- ledgers ------------------------------------------------------------------------------------------------------
+
+USAGE = """usage as (select conv_id, turn, role, case when conv_id % 7 = 0 and turn = 1 then null else cast(greatest(1, strlen(text) // 4) as bigint) end as input_tokens, cast(turn * 10 as bigint) as cache_read_tokens, cast(strlen(text) // 8 as bigint) as output_tokens,
+ case when conv_id % 2 = 0 then 'inclusive' else 'disjoint' end as provider, case conv_id % 3 when 0 then 'nova-large-2' when 1 then 'nova-small' else 'other' end as model, case when turn = 0 then 0.5 end as cost_usd from conversations)"""
+PRICES = "prices as (select priority, match, in_rate::double as in_rate, out_rate::double as out_rate from (values (1, 'nova-large', 3.0, 12.0), (2, 'nova', 1.0, 4.0), (3, 'large', 9.0, 9.0)) t(priority, match, in_rate, out_rate))"
+
+
+def _usage(spark, d):
+    c = S.table(spark, d, "conversations")
+    b = F.octet_length("text")
+    return c.select(
+        "conv_id", "turn", "role", F.when((F.col("conv_id") % 7 == 0) & (F.col("turn") == 1), None).otherwise(F.greatest(F.lit(1), F.floor(b / 4))).cast("long").alias("input_tokens"),
+        (F.col("turn") * 10).alias("cache_read_tokens"), F.floor(b / 8).cast("long").alias("output_tokens"), F.when(F.col("conv_id") % 2 == 0, "inclusive").otherwise("disjoint").alias("provider"),
+        F.when(F.col("conv_id") % 3 == 0, "nova-large-2").when(F.col("conv_id") % 3 == 1, "nova-small").otherwise("other").alias("model"), F.when(F.col("turn") == 0, 0.5).alias("cost_usd"),
+    )
+
+
+def _prices(spark):
+    return spark.createDataFrame([(1, "nova-large", 3.0, 12.0), (2, "nova", 1.0, 4.0), (3, "large", 9.0, 9.0)], "priority int, match string, in_rate double, out_rate double")
+
+
+@query("usage_normalise", f"with {USAGE} select conv_id, turn, case when provider = 'inclusive' then greatest(input_tokens - cache_read_tokens, case when input_tokens is null then null else 0 end) else input_tokens end as uncached_tokens from usage")
+def usage_normalise(spark, d):
+    u = ledgers.normalised(_usage(spark, d))
+    return u.select("conv_id", "turn", F.when(F.col("input_tokens").isNotNull(), F.col("uncached_tokens")).alias("uncached_tokens"))
+
+
+@query("usage_summary", f"""with {USAGE} select conv_id, count(*) as responses, case when count(*) = count(input_tokens) then cast(sum(input_tokens) as bigint) end as input_tokens, cast(sum(output_tokens) as bigint) as output_tokens,
+ case when count(input_tokens) = count(*) then 'available' when count(input_tokens) > 0 then 'partial' else 'unavailable' end as status, case when count(distinct provider) = 1 then min(provider) else 'mixed' end as basis from usage group by conv_id""")
+def usage_summary(spark, d):
+    return ledgers.usage_summary(_usage(spark, d), "conv_id")
+
+
+_PRICED = "m as (select distinct model from usage), best as (select model, arg_min(match, priority) as match, arg_min(in_rate, priority) as in_rate, arg_min(out_rate, priority) as out_rate from m join prices on regexp_matches('-' || model || '-', '[^a-z]' || match || '[^a-z]') group by model)"
+
+
+@query("price_first_match", f"with {USAGE}, {PRICES}, {_PRICED} select u.conv_id, u.turn, u.model, b.match, b.in_rate from usage u left join best b on u.model = b.model")
+def price_first_match(spark, d):
+    return ledgers.priced(_usage(spark, d), _prices(spark)).select("conv_id", "turn", "model", F.col("p.match").alias("match"), F.col("p.in_rate").alias("in_rate"))
+
+
+@query("session_economics", f"with {USAGE}, {PRICES}, {_PRICED}, c as (select conv_id, coalesce(cost_usd, (input_tokens * in_rate + output_tokens * out_rate) / 1e6) as cost from usage u left join best b on u.model = b.model) select conv_id, count(*) as responses, round(case when count(cost) = count(*) then sum(cost) end, 6) as cost, count(cost) as priced, count(cost) = count(*) as complete from c group by conv_id")
+def session_economics(spark, d):
+    return ledgers.economics(_usage(spark, d), _prices(spark), "conv_id").withColumn("cost", F.round("cost", 6))
+
+
+@query("scorecard_tokens", f"with {USAGE} select model, count(*) as requests, cast(sum(coalesce(input_tokens, 0)) as bigint) as input_tokens, cast(sum(cache_read_tokens) as bigint) as cache_read_tokens, round(sum(cache_read_tokens) / nullif(sum(cache_read_tokens) + sum(input_tokens), 0), 6) as hit_share from usage group by model")
+def scorecard_tokens(spark, d):
+    u = _usage(spark, d)
+    read, inp = F.sum("cache_read_tokens"), F.sum("input_tokens")
+    return u.groupBy("model").agg(F.count(F.lit(1)).alias("requests"), F.sum(F.coalesce("input_tokens", F.lit(0))).alias("input_tokens"), read.alias("cache_read_tokens"), F.round(read / F.when(read + inp != 0, read + inp), 6).alias("hit_share"))
+
+
+@query("invalidations", "with w as (select conv_id, turn, (strlen(text) * 7) % 1000 as read from conversations), m as (select *, max(read) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) as best from w) select conv_id, turn, cast(read as bigint) as read, cast(best as bigint) as best from m where read < best")
+def invalidations(spark, d):
+    w = S.table(spark, d, "conversations").select("conv_id", "turn", (F.octet_length("text") * 7 % 1000).cast("long").alias("read"))
+    return ledgers.invalidations(w, "conv_id", ["turn"]).where("dropped").select("conv_id", "turn", "read", "best")
+
+
+@query("followup_window", """with a as (select user_id as session, event_id as idx, case event_type when 'signup' then 'edit' when 'view' then 'retrieval' else 'bash' end as kind, 'run ' || regexp_extract(props, '[0-9]+') as command, event_type as signature, row_number() over (partition by user_id order by event_id) as k from events),
+ em as (select user_id as session, event_id as idx, 'click' as signature, ' ' || regexp_extract(props, '[0-9]') as needle from events where event_type = 'error'), e2 as (select em.*, a.k as n from em join a on em.session = a.session and em.idx = a.idx),
+ j as (select e2.session, e2.idx, e2.signature, needle, a.kind, a.command, a.signature as s2, a.k, sum(case when a.kind = 'edit' then 1 else 0 end) over (partition by e2.session, e2.idx order by a.k) as gens from e2 join a on a.session = e2.session and a.k between e2.n + 1 and e2.n + 6),
+ l as (select *, gens - case when kind = 'edit' then 1 else 0 end <= 2 as live from j), g as (select session, idx, cast(sum(live::int) as bigint) as actions, cast(max(case when live then gens end) as bigint) as generations, bool_or(live and kind in ('bash', 'retrieval') and contains(command, needle)) as used, bool_or(live and kind in ('bash', 'retrieval') and s2 = signature and gens = 0) as requery from l group by session, idx)
+ select e2.session, e2.idx, coalesce(actions, 0) as actions, coalesce(generations, 0) as generations, coalesce(used, false) as used, coalesce(requery, false) as requery, not (coalesce(actions, 0) >= 6 or coalesce(generations, 0) > 2) as censored from e2 left join g on e2.session = g.session and e2.idx = g.idx""")
+def followup_window(spark, d):
+    e = S.table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "signup", "edit").when(F.col("event_type") == "view", "retrieval").otherwise("bash")
+    acts = e.select(F.col("user_id").alias("session"), F.col("event_id").alias("idx"), kind.alias("kind"), F.concat(F.lit("run "), F.regexp_extract("props", "[0-9]+", 0)).alias("command"), F.col("event_type").alias("signature"))
+    em = e.where("event_type = 'error'").select(F.col("user_id").alias("session"), F.col("event_id").alias("idx"), F.lit("click").alias("signature"), F.concat(F.lit(" "), F.regexp_extract("props", "[0-9]", 0)).alias("needle"))
+    return ledgers.followup(em, acts)
+
+
+@query("policy_p95", "with r as (select p_brand as signature, cast(p_retailprice * 10 as bigint) as bytes from part) select signature, count(*) as n, max(bytes) as top, cast(quantile_disc(bytes, 0.95) as bigint) as p95, case when max(bytes) > 4 * 4000 then 'demote' when count(*) >= 5 and quantile_disc(bytes, 0.95) <= 4000 then 'promote' else 'keep' end as verdict from r group by 1")
+def policy_p95(spark, d):
+    return ledgers.policy(S.table(spark, d, "part").select(F.col("p_brand").alias("signature"), (F.col("p_retailprice") * 10).cast("long").alias("bytes")), 4000)
+
+
+@query("rollup_operator", "select coalesce(event_type, '*') as operator, count(*) as n, quantile_disc(value, 0.5) as median from events group by grouping sets ((event_type), ())")
+def rollup_operator(spark, d):
+    e = S.table(spark, d, "events").select("event_id", "event_type", "value")
+    return ledgers.rollup(e.union(e.where("event_id % 10 = 0")), "event_type", "value")
+
+
+@query("wilson_rank", "with g as (select event_type, count(*) as n, sum((value > 50)::int) as k from events group by 1), p as (select *, k / n as p from g) select event_type, n, cast(k as bigint) as used, round((p + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt((p * (1 - p) + 1.96 * 1.96 / (4 * n)) / n)) / (1 + 1.96 * 1.96 / n), 6) as low from p")
+def wilson_rank(spark, d):
+    return ledgers.ranked_plans(S.table(spark, d, "events"), "event_type", F.col("value") > 50).withColumn("low", F.round("low", 6))
+
+
+@query("density", "with g as (select user_id, cast(sum((event_type = 'error')::int) as bigint) as starvations, cast(sum((event_type = 'purchase')::int) as bigint) as landings from events group by 1) select *, starvations >= 2 and landings < starvations as dense from g")
+def density(spark, d):
+    e = S.table(spark, d, "events").withColumn("event", F.when(F.col("event_type") == "error", "starvation").when(F.col("event_type") == "purchase", "landing"))
+    return ledgers.density(e, "user_id")
+
+
+@query("route_summary", "with l as (select user_id as run_id, arg_max(event_type, ts) as label from events where event_type <> 'view' group by 1) select l.label, count(*) as n, count(distinct e.user_id) as runs from events e join l on e.user_id = l.run_id where e.event_type = 'view' group by 1")
+def route_summary(spark, d):
+    e = S.table(spark, d, "events")
+    runs = e.where("event_type = 'view'").select(F.col("user_id").alias("run_id"))
+    labels = e.where("event_type <> 'view'").select(F.col("user_id").alias("run_id"), "ts", F.col("event_type").alias("label"))
+    return ledgers.labelled_runs(runs, labels).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("run_id").alias("runs"))
+
+
+@query("coverage_observe", "select event_type as stage, user_id % 5 as host, count(*) as calls, cast(sum(strlen(props)) as bigint) as bytes, max(ts) as newest from events group by all")
+def coverage_observe(spark, d):
+    e = S.table(spark, d, "events").select(F.col("event_type").alias("stage"), (F.col("user_id") % 5).alias("host"), F.octet_length("props").cast("long").alias("bytes"), "ts")
+    return ledgers.observed(e, ["stage", "host"])
+
+
+@query("ladder_measure", "select r as rung, (select count(*) from events where case when value < 10 then 'low' when value < 100 then 'mid' else 'high' end = r) as n from (values ('low'), ('mid'), ('high'), ('never')) t(r)")
+def ladder_measure(spark, d):
+    rung = F.when(F.col("value") < 10, "low").when(F.col("value") < 100, "mid").otherwise("high")
+    return ledgers.ladder(S.table(spark, d, "events"), rung, ["low", "mid", "high", "never"])
+
+
+@query("task_fold", "select user_id as node, max(event_id % 9) as attempt, arg_max(event_type, event_id) as reason, cast(sum(length(event_type)) as bigint) as turns, round(case when count(*) = count(case when user_id % 10 = 0 and event_type = 'view' then null else value end) then sum(value) end, 4) as cost, count(*) = count(case when user_id % 10 = 0 and event_type = 'view' then null else value end) as complete from events group by 1")
+def task_fold(spark, d):
+    e = S.table(spark, d, "events").select(F.col("user_id").alias("node"), (F.col("event_id") % 9).alias("attempt"), F.col("event_type").alias("reason"), F.col("event_id").alias("seq"), F.length("event_type").cast("long").alias("turns"), F.when((F.col("user_id") % 10 == 0) & (F.col("event_type") == "view"), None).otherwise(F.col("value")).alias("cost"))
+    return ledgers.task_fold(e).withColumn("cost", F.round("cost", 4))
+
+
+@query("relay_pending", """with s as (select event_id as signal_id, case when event_id % 4 = 0 then '*' else cast(user_id % 5 as varchar) end as addressee, case when event_type = 'error' then 'interrupt' else 'note' end as kind, ts, value as expires_at from events where event_id < 3000),
+ sub as (select cast(range as varchar) as subscriber from range(5)), due as (select s.*, subscriber from s join sub on addressee = '*' or addressee = subscriber where expires_at > 20), r as (select distinct event_id as signal_id, cast(user_id % 5 as varchar) as subscriber from events where event_id % 3 = 0),
+ p as (select d.signal_id, d.subscriber, row_number() over (partition by subscriber order by case when kind = 'interrupt' then 0 else 1 end, ts, signal_id) as place from due d where not exists (select 1 from r where r.signal_id = d.signal_id and r.subscriber = d.subscriber)) select * from p where place <= 32""")
+def relay_pending(spark, d):
+    e = S.table(spark, d, "events")
+    signals = e.where("event_id < 3000").select(F.col("event_id").alias("signal_id"), F.when(F.col("event_id") % 4 == 0, "*").otherwise((F.col("user_id") % 5).cast("string")).alias("addressee"), F.when(F.col("event_type") == "error", "interrupt").otherwise("note").alias("kind"), "ts", F.col("value").alias("expires_at"))
+    receipts = e.where("event_id % 3 = 0").select(F.col("event_id").alias("signal_id"), (F.col("user_id") % 5).cast("string").alias("subscriber"))
+    subs = spark.range(5).select(F.col("id").cast("string").alias("subscriber"))
+    return ledgers.pending(signals, receipts, subs, F.lit(20.0)).select("signal_id", "subscriber", F.col("place").cast("long").alias("place"))
+
+
+@query("watch_fan_out", "with p as (select event_id as signal_id, event_type as topic, cast(user_id as varchar) as selector from events where event_id < 2000), w as (select event_type as topic, cast(user_id % 20 as varchar) as selector, 'u' || cast(user_id % 7 as varchar) as subscriber from events where event_id % 50 = 0) select distinct p.signal_id, w.subscriber, 'note' as kind from p join w on p.topic = w.topic and starts_with(p.selector, w.selector)")
+def watch_fan_out(spark, d):
+    e = S.table(spark, d, "events")
+    p = e.where("event_id < 2000").select(F.col("event_id").alias("signal_id"), F.col("event_type").alias("topic"), F.col("user_id").cast("string").alias("selector"), F.lit("note").alias("kind"))
+    w = e.where("event_id % 50 = 0").select(F.col("event_type").alias("topic"), (F.col("user_id") % 20).cast("string").alias("selector"), F.concat(F.lit("u"), (F.col("user_id") % 7).cast("string")).alias("subscriber"))
+    return ledgers.fan_out(p, w)
+
+
+@query("debt_open", "with l as (select user_id as key, arg_max(case when event_type in ('click', 'view') then 'add' else 'resolve' end, event_id) as op, max(event_id) as seq from events group by 1) select key, seq from l where op = 'add'")
+def debt_open(spark, d):
+    e = S.table(spark, d, "events").select(F.col("user_id").alias("key"), F.when(F.col("event_type").isin("click", "view"), "add").otherwise("resolve").alias("op"), F.col("event_id").alias("seq"))
+    return ledgers.open_debts(e)
+
+
+@query("dedupe_events", "select user_id, event_type, arg_min(event_id, event_id) as event_id from events group by user_id, event_type")
+def dedupe_events(spark, d):
+    e = S.table(spark, d, "events").select("user_id", "event_type", "event_id")
+    return combine.first_wins(e, ["user_id", "event_type"], [F.col("event_id")])
+
+
+@query("labels_completeness", "select source, count(*) as n, count(quality) as labelled, case when count(*) = count(quality) then cast(sum(quality) as bigint) end as quality from documents d left join labels l on d.doc_id = l.doc_id group by 1")
+def labels_completeness(spark, d):
+    j = S.table(spark, d, "documents").select("doc_id", "source").join(S.table(spark, d, "labels"), "doc_id", "left")
+    return j.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count("quality").alias("labelled"), strict_sum(F.col("quality")).alias("quality"))
+
+
+@query("bucket_edges", "select l_linenumber as v, cast(least(2, floor((l_linenumber - 1) / 2.0)) as bigint) as b from lineitem group by all")
+def bucket_edges(spark, d):
+    v = F.col("l_linenumber")
+    return S.table(spark, d, "lineitem").select(v.alias("v")).distinct().select("v", bucket(F.col("v"), F.lit(1), F.lit(7), 3).alias("b"))
+
+
+# -- plans and windows --------------------------------------------------------------------------------------------
+
+
+@query("plan_diagnose", SQL["shared_cause_stage"])
+def plan_diagnose(spark, d):
+    result = dag.execute(pipeline.Context(spark, d), dag.ask("diagnose", "last"))
+    return result.frames["shared"].df
+
+
+@query("plan_foreach", f"with {EDGES}, v as (select cast(dst as varchar) as item from edges where src = 34 and tier <> 'repo' group by dst order by dst::varchar, min(line) limit 5) select item, cast(e.src as varchar) as symbol, e.line, e.tier from v join edges e on cast(e.dst as varchar) = v.item where e.tier <> 'repo'")
+def plan_foreach(spark, d):
+    plan = {"version": dag.VERSION, "question": "who calls what 34 calls", "steps": [
+        {"id": "callees", "op": "callees", "args": ["34"]},
+        {"id": "callers", "op": "callers", "args": ["{item}"], "foreach": "callees.symbol", "cap": 5, "when": "callees.count > 0"},
+    ]}
+    return dag.execute(pipeline.Context(spark, d), plan).frames["callers"].df.select("item", "symbol", "line", "tier")
+
+
+@query("events_tumbling", "select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n from events group by all")
+def events_tumbling(spark, d):
+    e = S.table(spark, d, "events")
+    return e.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+@query("events_sliding", "select time_bucket(interval '30 minutes', ts) - i * interval '30 minutes' as start, count(*) as n from events, range(2) r(i) group by 1")
+def events_sliding(spark, d):
+    e = S.table(spark, d, "events")
+    return e.groupBy(F.window("ts", "1 hour", "30 minutes")).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "n")
+
+
+@query("events_session", "with g as (select user_id, ts, case when ts - lag(ts) over w < interval '2 hours' then 0 else 1 end as new from events window w as (partition by user_id order by ts, event_id)), s as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as k from g) select user_id, min(ts) as start, count(*) as n from s group by user_id, k")
+def events_session(spark, d):
+    e = S.table(spark, d, "events")
+    return e.groupBy(F.session_window("ts", "2 hours"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n")
+
+
+@query("circuit_moves")
+def circuit_moves(spark, d):
+    from .streaming import state
+
+    return state.circuit_moves(_circuit_events(spark, d))
+
+
+def _circuit_events(spark, d):
+    e = S.table(spark, d, "events").where("event_type in ('error', 'purchase')")
+    return e.select(F.col("user_id").cast("string").alias("signature"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "starvation").otherwise("landing").alias("event"), F.dayofmonth("ts").cast("string").alias("generation"))
