@@ -89,8 +89,8 @@ def cycles(edges: DataFrame, rounds: int = 20) -> DataFrame:
             break
         fwd, back = _least(e, "src", "dst"), _least(e, "dst", "src")
         both = settled(fwd.toDF("node", "f").join(back.toDF("node", "b"), "node"))
-        settled = both.where("f = b").select("node", F.col("f").alias("component"))
-        done = settled if done is None else done.unionByName(settled)
+        agreed = both.where("f = b").select("node", F.col("f").alias("component"))
+        done = agreed if done is None else done.unionByName(agreed)
         rest = both.where("f <> b")
         s = rest.select(F.col("node").alias("src"), F.col("f").alias("fs"), F.col("b").alias("bs"))
         d = rest.select(F.col("node").alias("dst"), F.col("f").alias("fd"), F.col("b").alias("bd"))
