@@ -38,7 +38,7 @@ def top_groups(df: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
 
 def top_rows(df: DataFrame, n: int, order: list[Column]) -> tuple[DataFrame, DataFrame]:
     """The first n rows of a total order, and the count of the rest."""
-    first = df.orderBy(*order).limit(n)
+    first = (df.orderBy(*order) if order else df).limit(n)
     return first, df.agg(F.greatest(F.count(F.lit(1)) - n, F.lit(0)).alias("n"))
 
 

@@ -74,7 +74,7 @@ def run(context: Context, text: str, row_cap: int | None = None) -> EvidenceFram
     for name, args in parse(text):
         frame = STAGES[name].run(context, frame, args)
         if row_cap is not None:
-            df, gone = combine.top_rows(frame.df, row_cap, list(frame.order) or [F.lit(0)])
+            df, gone = combine.top_rows(frame.df, row_cap, list(frame.order))
             frame = frame.with_rows(df, omitted=(*frame.omitted, gone))
     return frame
 
