@@ -29,15 +29,17 @@ def neighbours(edges: DataFrame, node, direction: str, unscoped: bool = False) -
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
     """(node, depth) least steps along (src, dst) from seeds (node), at most `depth`; seeds count once reached again."""
-    step = edges.select("src", "dst").distinct()
+    step = settled(edges.select("src", "dst").distinct())
     frontier, found = seeds.select("node").distinct(), None
     for d in range(1, min(depth, MOST_DEPTH) + 1):
         nxt = frontier.join(step, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         if found is not None:
             nxt = nxt.join(found.select("node"), "node", "left_anti")
-        nxt = nxt.withColumn("depth", F.lit(d).cast("long"))
+        nxt = settled(nxt.withColumn("depth", F.lit(d).cast("long")))
         found = nxt if found is None else found.unionByName(nxt)
         frontier = nxt.select("node")
+        if nxt.isEmpty():
+            break
     return found
 
 
@@ -90,6 +92,8 @@ def cycles(edges: DataFrame, rounds: int = 20) -> DataFrame:
         fwd, back = _least(e, "src", "dst"), _least(e, "dst", "src")
         both = settled(fwd.toDF("node", "f").join(back.toDF("node", "b"), "node"))
         agreed = both.where("f = b").select("node", F.col("f").alias("component"))
+        # a node that agrees with itself alone lies between cycles, on none
+        agreed = agreed.join(agreed.groupBy("component").count().where("count > 1").select("component"), "component", "left_semi").select("node", "component")
         done = agreed if done is None else done.unionByName(agreed)
         rest = both.where("f <> b")
         s = rest.select(F.col("node").alias("src"), F.col("f").alias("fs"), F.col("b").alias("bs"))
