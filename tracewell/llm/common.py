@@ -8,7 +8,6 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -19,12 +18,6 @@ CHUNK_BYTES = 1 << 18
 BATCH_BYTES = 4 << 20
 
 
-def ship(*modules) -> None:
-    """Send the functions of these modules with each job, so that executors need no copy of the repository."""
-    for module in modules:
-        cloudpickle.register_pickle_by_value(module)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

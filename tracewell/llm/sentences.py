@@ -1,15 +1,15 @@
 """9. Substring dedup by sliding sentence spans.
 
-Every run of `run` consecutive sentences of a text is hashed (white space and A-Z case do not count).  Equal runs are
-joined over the whole corpus; of each repeated run the first occurrence stays, in the order of (doc_id, text hash, place),
-and the sentences of every other occurrence are removed.  Runs of fewer than `least` words are left out: short sentences
-repeat by chance.
+From every sentence of a text on, a run of several consecutive sentences is hashed (white space and A-Z case do not
+count): the shortest of `LENGTHS` sentences that holds `least` words, so that short sentences do not repeat by chance and
+long ones do not need many.  Equal runs are joined over the whole corpus; of each repeated run the first occurrence stays,
+in the order of (doc_id, text hash, place), and the sentences of every other occurrence are removed.
 
 Runs are counted and their first places found by an aggregate that is combined before the shuffle; a run that a third of
 all documents share is one row there.  Its other occurrences are joined back to that row, and a hot run is split by
 adaptive execution, since its row is unique.  Nothing is capped.
 
-Defined cases: a null text is an empty one without sentences; a text of fewer sentences than `run` is one run; of equal
+Defined cases: a null text is an empty one without sentences; a text of fewer than `least` words has no run; of equal
 rows (same id and text) none is first before the others, so all keep the run's first occurrence; an equal text under
 another id loses what its first copy holds; null ids sort before others; an empty table gives an empty result.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import table, with_columns_of, written
 
-RUN, LEAST = 3, 12
+LENGTHS, LEAST = (2, 3, 5, 8, 13, 21), 20
 END = "(?<=[.!?…。])(?=\\s)|(?<=\\n)"
 
 
@@ -41,35 +41,33 @@ def let(value: Column, body) -> Column:
 RUNS = "array<struct<i:int,j:int,h:bigint>>"
 
 
-def runs_of(text: Column, run: int, least: int) -> Column:
+def runs_of(text: Column, least: int) -> Column:
     """Runs of a text: first and last sentence and hash.  Sentences of white space alone are no sentences."""
 
     def one(s: Column, i: Column) -> Column:
         return let(normal(s), lambda x: F.struct(i.cast("int").alias("i"), F.xxhash64(x).alias("h"), F.when(x == "", 0).otherwise(F.size(F.split(x, " "))).alias("w")))
 
-    def runs(p: Column) -> Column:
-        n = F.size(p)
+    def made(part: Column) -> Column:
+        return F.struct(part[0]["i"].alias("i"), F.element_at(part, -1)["i"].alias("j"), F.xxhash64(F.transform(part, lambda x: x["h"])).alias("h"))
 
+    def runs(p: Column) -> Column:
         def at(k: Column) -> Column:
-            def made(part: Column) -> Column:
-                return F.struct(
-                    part[0]["i"].alias("i"), F.element_at(part, -1)["i"].alias("j"), F.xxhash64(F.transform(part, lambda x: x["h"])).alias("h"),
-                    F.aggregate(part, F.lit(0), lambda a, x: a + x["w"]).alias("w"),
-                )
-
-            return let(F.slice(p, k, run), made)
+            run = F.lit(None).cast("struct<i:int,j:int,h:bigint>")
+            for n in reversed(LENGTHS):
+                part = F.slice(p, k, n)
+                run = F.when(F.aggregate(part, F.lit(0), lambda a, x: a + x["w"]) >= least, made(part)).otherwise(run)
+            return run
 
-        every = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - (run - 1))), at)
-        long = F.transform(F.filter(every, lambda x: x["w"] >= least), lambda x: F.struct(x["i"].alias("i"), x["j"].alias("j"), x["h"].alias("h")))
-        return F.when(n > 0, long).otherwise(F.array().cast(RUNS))
+        every = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(p))), at)
+        return F.when(F.size(p) > 0, F.filter(every, lambda x: x.isNotNull())).otherwise(F.array().cast(RUNS))
 
-    return let(F.filter(F.transform(sentences(text), one), lambda p: p["w"] > 0), runs)
+    return let(F.filter(F.transform(sentences(text), one), lambda p: p["w"] > 0), lambda p: runs(p))
 
 
-def repeated(docs: DataFrame, run: int = RUN, least: int = LEAST) -> DataFrame:
+def repeated(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(id, tid, cut): numbers of the sentences to remove, of the texts that have any."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    runs = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text).alias("tid"), F.explode(runs_of(text, run, least)).alias("r"))
+    runs = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text).alias("tid"), F.explode(runs_of(text, least)).alias("r"))
     runs = runs.select("id", "tid", "r.h", "r.i", "r.j")
     runs = runs.groupBy("h", "id", "tid", "i", "j").agg(F.count(F.lit(1)).alias("c"))  # equal rows are one
     runs = written(runs.drop("c"))
@@ -80,9 +78,9 @@ def repeated(docs: DataFrame, run: int = RUN, least: int = LEAST) -> DataFrame:
     return later.groupBy("id", "tid").agg(F.collect_set("s").alias("cut"))
 
 
-def remove(docs: DataFrame, run: int = RUN, least: int = LEAST) -> DataFrame:
+def remove(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, n_sentences, n_removed, cut (sorted numbers, from 0, of removed sentences) and kept (text) of each row."""
-    cut = written(repeated(docs, run, least))
+    cut = written(repeated(docs, least))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     cut = cut.select(F.col("id").alias("id0"), F.col("tid").alias("tid0"), "cut")
     t = docs.select("doc_id", text.alias("t"), F.xxhash64(text).alias("tid"))
