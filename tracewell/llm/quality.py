@@ -70,28 +70,29 @@ def repeat_words(words: Column, n: int = WINDOW) -> Column:
 def features(docs: DataFrame, stratum: str = "lang") -> DataFrame:
     """doc_id, stratum and the counts of every whole text."""
     t = with_columns_of(docs, ("doc_id", "long"), ("text", "string"), (stratum, "string"))
-    return counted(t.select("doc_id", F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), F.coalesce("text", F.lit("")).alias("t")), "doc_id")
-
-
-def counted(t: DataFrame, key: str) -> DataFrame:
-    """key, stratum and the counts of the texts t."""
-    words = F.filter(F.split("t", f"[{SPACE}]+"), lambda w: w != "")
-    lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
-    t = t.select(
-        key, "stratum", words.alias("w"), lines.alias("l"),
-        F.length(F.translate("t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        (F.length("t") - F.length(F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_upper"),
-    )
-    return t.select(
-        key, "stratum", F.size("w").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_upper",
-        F.size("l").cast("long").alias("n_lines"), (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
-        repeat_words(F.col("w")).alias("n_repeat_words"),
-    )
-
-
-def rule_values() -> dict[str, Column]:
-    some = lambda n, d: F.coalesce(F.col(n) / F.when(F.col(d) > 0, F.col(d)), F.lit(0.0))
+    return t.select("doc_id", F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), counts(F.coalesce("text", F.lit(""))).alias("c")).select("doc_id", "stratum", "c.*")
+
+
+def counts(t: Column) -> Column:
+    """The counts of a text as one struct.  Parts that are used more than once are bound, so none is computed twice."""
+    words = F.filter(F.split(t, f"[{SPACE}]+"), lambda w: w != "")
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
+
+    def made(x: Column) -> Column:
+        w, y = x["w"], x["l"]
+        without = lambda chars: F.length(F.translate(t, chars, ""))
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"), without(" \t\n\x0b\x0c\r").cast("long").alias("word_chars"),
+            (F.length(t) - without("#*$%&|<>")).cast("long").alias("n_symbols"), (F.length(t) - without("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).cast("long").alias("n_upper"),
+            F.size(y).cast("long").alias("n_lines"), (F.size(y) - F.size(F.array_distinct(y))).cast("long").alias("n_dup_lines"),
+            let(w, lambda v: repeat_words(v)).alias("n_repeat_words"),
+        )
+
+    return let(F.struct(words.alias("w"), lines.alias("l")), made)
+
+
+def rule_values(of=F.col) -> dict[str, Column]:
+    some = lambda n, d: F.coalesce(of(n) / F.when(of(d) > 0, of(d)), F.lit(0.0))
     return {
         "symbol_share": some("n_symbols", "word_chars"),
         "dup_line_share": some("n_dup_lines", "n_lines"),
@@ -101,8 +102,8 @@ def rule_values() -> dict[str, Column]:
     }
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+def base_failed(of=F.col) -> Column:
+    return (of("n_words") < 20) | (100 * of("n_repeat_words") > 30 * of("n_words"))
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
@@ -136,14 +137,20 @@ def cutoffs(feats: DataFrame, labels: DataFrame, risk: float = RISK, delta: floa
     return out
 
 
-def verdicts(feats: DataFrame, cuts: dict[tuple[str, str], float]) -> DataFrame:
-    """feats with base_failed, kept and the first rule that rejects."""
-    values, rejects = rule_values(), F.lit(None).cast("string")
+def rejecting(cuts: dict[tuple[str, str], float], of=F.col, stratum: Column | None = None) -> Column:
+    """The first rule that rejects, or null."""
+    values, rejects = rule_values(of), F.lit(None).cast("string")
+    stratum = F.col("stratum") if stratum is None else stratum
     for rule in GRIDS:
         by = [x for (s, r), c in sorted(cuts.items()) if r == rule for x in (F.lit(s), F.lit(float(c)))]
         if by:
-            rejects = F.coalesce(rejects, F.when(values[rule] > F.element_at(F.create_map(*by), F.col("stratum")), F.lit(rule)))
-    out = feats.withColumns({"base_failed": base_failed(), "rule": rejects})
+            rejects = F.coalesce(rejects, F.when(values[rule] > F.element_at(F.create_map(*by), stratum), F.lit(rule)))
+    return rejects
+
+
+def verdicts(feats: DataFrame, cuts: dict[tuple[str, str], float]) -> DataFrame:
+    """feats with base_failed, kept and the first rule that rejects."""
+    out = feats.withColumns({"base_failed": base_failed(), "rule": rejecting(cuts)})
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
@@ -157,9 +164,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: f
     """The rows of docs that are kept, unchanged.  Counts are made twice, which is cheaper than moving the texts."""
     cuts = cutoffs(written(features(docs, stratum)), labels, risk, delta)
     of = F.col(stratum).cast("string") if stratum in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.coalesce(of, F.lit("")).alias("stratum"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    kept = verdicts(counted(rows, "__row"), cuts).where("kept")
-    return kept.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
+    # one expression, so that the filter computes the counts of a text once
+    good = let(counts(F.coalesce(F.col("text").cast("string"), F.lit(""))), lambda c: ~base_failed(c.getField) & rejecting(cuts, c.getField, F.coalesce(of, F.lit(""))).isNull())
+    return docs.where(good)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
