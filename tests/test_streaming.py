@@ -33,3 +33,24 @@ def test_fold_and_unique(spark, tmp_path):
     assert rows == [(1,), (2,)]
     last = drained(state.folded(state.ledger(spark, str(tmp_path), schema, 1), "k", "seq", "v"), "folds", spark, "complete")
     assert last == [("a", "y", 2)]
+
+
+def test_followup_stream_equals_closed_windows_of_the_batch(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tracewell.operators import ledgers
+    from tracewell.sources import tables
+    from tracewell.streaming import windows
+
+    e = tables.table(spark, DIR, "events").where("user_id % 4 = 0")
+    kind = F.when(F.col("event_type") == "signup", "edit").when(F.col("event_type") == "view", "retrieval").otherwise("bash")
+    acts = e.select(F.col("user_id").alias("session"), F.col("event_id").alias("idx"), kind.alias("kind"), F.concat(F.lit("run "), F.col("props")).alias("command"), F.col("event_type").alias("signature"))
+    em = e.where("event_type = 'error'").select(F.col("user_id").alias("session"), F.col("event_id").alias("idx"), F.lit("click").alias("signature"), F.lit('": 1').alias("needle"))
+    want = ledgers.followup(em, acts).where("not censored").select("session", "idx", "actions", "generations", "used", "requery")
+    rows = windows.turns(em, acts).orderBy("idx", "side")
+    data = rows.collect()
+    for i in range(0, len(data), 100):
+        (tmp_path / f"{i:05}.json").write_text("\n".join(json.dumps(r.asDict()) for r in data[i : i + 100]))
+    stream = state.ledger(spark, str(tmp_path), rows.schema, per_trigger=1)
+    got = drained(windows.followup_stream(stream), "closed", spark)
+    assert got and got == sorted(tuple(r) for r in want.collect())
