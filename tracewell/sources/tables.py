@@ -5,6 +5,8 @@ Lines split at \\n alone; an empty last line is dropped and one trailing \\r str
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,11 +18,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_FOLDERS: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A folder of this process in the one that all executors see; where the session names none, in a temporary one.
+
+    It holds what `settled` writes.  A local one is removed when the process ends; in a store, it may go at any time after.
+    """
+    top = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints").rstrip("/")
+    if top not in _FOLDERS:
+        _FOLDERS[top] = f"{top}/tracewell-{uuid.uuid4().hex}"
+        if top.startswith(("/", "file:")):
+            atexit.register(shutil.rmtree, _FOLDERS[top].removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+    return _FOLDERS[top]
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the folder that spark.checkpoint.dir names: cuts the lineage of loops."""
+    """The rows as a Parquet table in the shared folder: cuts the lineage of loops, survives lost executors."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints/tracewell"
-    at = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
