@@ -107,3 +107,28 @@ def test_hard_rows(hard, empty):
     ids = Counter(r["class_id"] for r in rows)
     assert Counter(r["doc_id"] for r in got) == Counter(i for i in ids)
     assert N.dedup(empty).collect() == [] and N.keep_one(empty).collect() == []
+
+
+def test_star_of_copies_is_one_class(spark):
+    """Copies that are each like the original, but not like one another, in buckets where another text may lead."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice(("an", "the", "re", "on", "é", "ing", "ou", "tel")) for _ in range(4))
+    texts = []
+    for _ in range(3):
+        base = [word() for _ in range(300)]
+        texts.append(" ".join(base))
+        for _ in range(120):
+            w = list(base)
+            for _ in range(6):
+                w[r.randrange(len(w))] = word()
+            texts.append(" ".join(w))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x["class_id"] for x in N.dedup(docs).collect()}
+    idf, _ = N.document_frequency(N.key_columns(docs.select("text")))
+    sets = [N.shingle_set(t.encode(), idf) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and N.similar(sets[i], sets[j], N.SIMILAR):
+                root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
+    assert classes_of([got[i] for i in range(len(texts))]) == classes_of(root)

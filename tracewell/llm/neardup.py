@@ -8,14 +8,18 @@ text times the mean idf of its words, 1 + log((N + 1) / (df + 1)) / log(N + 1),
    weighted Jaccard similarity.  ROWS samples make a band; texts of one band hash share a bucket.
 2. In a bucket each text is paired with the bucket's leader and with the leader of its sub-bucket of about `SUB` texts,
    both drawn anew in each band, by aggregates that are combined before the shuffle.  So a group of n copies gives at most
-   2 * BANDS * n pairs, never all, and its texts meet many others.
+   2 * BANDS * n pairs, never all, and mostly becomes one component by them.
 3. Pairs are verified on the whole texts: similar means a weighted Jaccard similarity of `SIMILAR` or more, or the same
    for the plain one.  First one pair of each text is verified; then, of the rest, those that still lie in different
    components.
-4. Classes are the connected components of verified pairs and of equal texts.
+4. In a bucket whose texts still lie in several components, each text outside the bucket's largest component is paired
+   with every text of another component, in cells of at most about `CELL` by `CELL` texts, and these pairs are verified.
+   So each pair that shares a bucket lies in one component or has been verified.  The number of these pairs is
+   the product of the texts outside the largest component and all texts of the bucket: a bucket of n texts that are
+   pairwise not similar takes all its pairs.
+5. Classes are the connected components of verified pairs and of equal texts.
 
-A pair of similarity 0.8 misses all bands with a probability of 0.0002; 0.9, of 10^-7.  Texts that share a bucket but meet
-no leader in common are linked through others of the group.
+A pair of similarity 0.8 misses all bands with a probability of 0.0002; 0.9, of 10^-7.
 
 Defined cases: a null text is an empty one; texts without words are alike only if equal; a text of fewer than five words
 is one shingle; repeated rows share a class; class_id is the least doc_id of the class (null if it has none); an empty
@@ -38,7 +42,7 @@ from .components import components
 from .substrings import key_columns, packed
 
 SHINGLE, SIMILAR = 5, 0.8
-BANDS, ROWS, SUB = 16, 4, 8
+BANDS, ROWS, SUB, CELL = 16, 4, 8, 256
 CLASSES = 1 << 16
 ENTRIES, LEVELS, STEP = 1 << 12, 160, 0.08
 
@@ -151,18 +155,40 @@ def signatures(texts: DataFrame, idf: np.ndarray) -> DataFrame:
     return arrow_map(texts.select("t", "tid"), run, "tid long, bands array<long>").dropDuplicates(["tid"])
 
 
-def candidates(sig: DataFrame) -> DataFrame:
-    """(a, b), a < b: each text with the leaders of its buckets and sub-buckets."""
+def buckets(sig: DataFrame) -> DataFrame:
+    """(h, tid, l, s): the texts of each bucket of two or more, the bucket's leader and the text's sub-bucket."""
     rows = sig.select("tid", F.explode("bands").alias("h"))
-    order = lambda s: F.struct(F.xxhash64(F.lit(s), "h", "tid"), F.col("tid"))
-    lead = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(order(1)).alias("l")).where("n > 1")
-    near = rows.join(lead, "h").select("h", "tid", F.col("l.tid").alias("l"), F.pmod(F.xxhash64("tid", "h"), F.ceil(F.col("n") / SUB)).alias("s"))
-    near = written(near)
-    sub = near.groupBy("h", "s").agg(F.min(order(2)).alias("m"))
+    lead = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(drawn(1)).alias("l")).where("n > 1")
+    return rows.join(lead, "h").select("h", "tid", F.col("l.tid").alias("l"), F.pmod(F.xxhash64("tid", "h"), F.ceil(F.col("n") / SUB)).alias("s"))
+
+
+def drawn(s: int):
+    return F.struct(F.xxhash64(F.lit(s), "h", "tid"), F.col("tid"))
+
+
+def candidates(near: DataFrame) -> DataFrame:
+    """(a, b), a < b: each text with the leaders of its buckets and sub-buckets."""
+    sub = near.groupBy("h", "s").agg(F.min(drawn(2)).alias("m"))
     both = near.join(sub, ["h", "s"]).select("tid", F.explode(F.array("l", F.col("m.tid"))).alias("o"))
     return both.where("tid <> o").select(F.least("tid", "o").alias("a"), F.greatest("tid", "o").alias("b")).distinct()
 
 
+def apart(near: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b), a < b: all pairs that share a bucket and lie in different components."""
+    at = near.select("h", "tid").join(roots.toDF("node", "r"), F.col("tid") == F.col("node"), "left").select("h", "tid", F.coalesce("r", "tid").alias("r"))
+    at = written(at)
+    of = at.groupBy("h", "r").agg(F.count(F.lit(1)).alias("c")).groupBy("h")
+    of = of.agg(F.max(F.struct("c", "r")).alias("most"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    blocks = lambda n: F.ceil(n / CELL).cast("int")
+    of = of.select("h", F.col("most.r").alias("major"), blocks(F.col("n")).alias("all"), blocks(F.col("n") - F.col("most.c")).alias("few"))
+    at = written(at.join(of, "h"))
+    block = lambda n: F.pmod(F.xxhash64("tid", "h"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = at.where("r <> major").select("h", block("few").alias("p"), every("all").alias("q"), F.col("tid").alias("x"), F.col("r").alias("rx"))
+    y = at.select("h", every("few").alias("p"), block("all").alias("q"), F.col("tid").alias("y"), F.col("r").alias("ry"))
+    return x.join(y, ["h", "p", "q"]).where("rx <> ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def similar(x: tuple, y: tuple, least: float) -> bool:
     """Is the weighted or the plain Jaccard similarity of two weighted shingle sets (sorted, with weights) `least` or more?"""
     (a, wa), (b, wb) = x, y
@@ -204,7 +230,8 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """(tid, root) of the texts that have a similar one; tid is the hash of a text."""
     texts = key_columns(docs.select("text"))
     idf, _ = document_frequency(texts)
-    pairs = written(candidates(signatures(texts, idf)))
+    near = written(buckets(signatures(texts, idf)))
+    pairs = written(candidates(near))
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct()
     need = packed(texts.select("t", "tid"), ["tid"]).join(nodes, "tid", "left_semi").groupBy("tid").agg(F.first("z").alias("z"))
     need = written(need)
@@ -216,7 +243,13 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
         rest = rest.join(roots.toDF("node", f"r{end}"), F.col(end) == F.col("node"), "left").drop("node")
     rest = rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
     more = written(verified(written(rest), need, idf, least))
-    return components(good.unionByName(more)).select(F.col("node").alias("tid"), "root")
+    good = good.unionByName(more)
+    roots = written(components(good))
+    last = written(apart(near, roots).join(pairs, ["a", "b"], "left_anti"))
+    last = written(verified(last, need, idf, least))
+    if not last.isEmpty():
+        roots = components(good.unionByName(last))
+    return roots.select(F.col("node").alias("tid"), "root")
 
 
 def labelled(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
