@@ -1,9 +1,12 @@
 """9. Substring dedup by sliding sentence spans.
 
-From every sentence of a text on, a run of several consecutive sentences is hashed (white space and A-Z case do not
-count): the shortest of `LENGTHS` sentences that holds `least` words, so that short sentences do not repeat by chance and
-long ones do not need many.  Equal runs are joined over the whole corpus; of each repeated run the first occurrence stays,
-in the order of (doc_id, text hash, place), and the sentences of every other occurrence are removed.
+Every run of two or more consecutive sentences with `least` words or more counts (white space and A-Z case do not).  Equal
+runs are joined over the whole corpus; of each repeated run the first occurrence stays, in the order of (doc_id, text
+hash, place), and the sentences of every other occurrence are removed.
+
+Not every run has to be hashed for that.  A run is hashed if it is the shortest from its first sentence on, or the
+shortest up to its last one: at most two a sentence.  Within a repeated run of any length these shorter ones overlap or
+meet from end to end, and repeat with it at the same places, so the sentences removed are those of all runs.
 
 Runs are counted and their first places found by an aggregate that is combined before the shuffle; a run that a third of
 all documents share is one row there.  Its other occurrences are joined back to that row, and a hot run is split by
@@ -16,61 +19,81 @@ another id loses what its first copy holds; null ids sort before others; an empt
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, with_columns_of, written
+from .common import arrow_map, chunks, mix64, prefix_hash, table, text_of, with_columns_of, written
 
-LENGTHS, LEAST = (2, 3, 5, 8, 13, 21), 20
+LEAST = 20
 END = "(?<=[.!?…。])(?=\\s)|(?<=\\n)"
 
 
+#: The same on UTF-8 bytes.
+END_BYTES = re.compile(rb"(?:(?<=[.!?])|(?<=\xe2\x80\xa6)|(?<=\xe3\x80\x82))(?=[ \t\n\x0b\f\r])|(?<=\n)")
+
+
 def sentences(text: Column) -> Column:
     """Pieces of a text, together the whole text; a piece ends after . ! ? before white space, or after a line."""
     return F.filter(F.split(text, END), lambda s: s != "")
 
 
-def normal(s: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(s, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "\\s+", " "))
-
-
-def let(value: Column, body) -> Column:
-    return F.transform(F.array(value), body)[0]
-
-
-RUNS = "array<struct<i:int,j:int,h:bigint>>"
-
-
-def runs_of(text: Column, least: int) -> Column:
-    """Runs of a text: first and last sentence and hash.  Sentences of white space alone are no sentences."""
-
-    def one(s: Column, i: Column) -> Column:
-        return let(normal(s), lambda x: F.struct(i.cast("int").alias("i"), F.xxhash64(x).alias("h"), F.when(x == "", 0).otherwise(F.size(F.split(x, " "))).alias("w")))
-
-    def made(part: Column) -> Column:
-        return F.struct(part[0]["i"].alias("i"), F.element_at(part, -1)["i"].alias("j"), F.xxhash64(F.transform(part, lambda x: x["h"])).alias("h"))
-
-    def runs(p: Column) -> Column:
-        def at(k: Column) -> Column:
-            run = F.lit(None).cast("struct<i:int,j:int,h:bigint>")
-            for n in reversed(LENGTHS):
-                part = F.slice(p, k, n)
-                run = F.when(F.aggregate(part, F.lit(0), lambda a, x: a + x["w"]) >= least, made(part)).otherwise(run)
-            return run
-
-        every = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(p))), at)
-        return F.when(F.size(p) > 0, F.filter(every, lambda x: x.isNotNull())).otherwise(F.array().cast(RUNS))
-
-    return let(F.filter(F.transform(sentences(text), one), lambda p: p["w"] > 0), lambda p: runs(p))
+def spans(row: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last places of the runs to hash; row and words are each sentence's row and number of words."""
+    n = len(row)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    total, at = np.concatenate([[0], np.cumsum(words)]), np.arange(n)
+    end = np.searchsorted(row, row, side="right")
+    last = np.maximum(at + 1, np.searchsorted(total, total[:-1] + least) - 1)  # of the shortest run from a sentence on
+    # runs that are the shortest up to their last sentence go on to where the next sentence's begin, or the row ends
+    beyond = np.minimum(np.concatenate([last[1:], [n]]), end)
+    count = np.where(last < end, np.maximum(1, beyond - last), 0)
+    first = np.repeat(at, count)
+    step = np.arange(len(first)) - np.repeat(np.cumsum(count) - count, count)
+    return first, np.repeat(last, count) + step
+
+
+def runs_of(docs: DataFrame, least: int) -> DataFrame:
+    """(id, tid, h, i, j) of docs (id, tid, t): hash, first and last sentence of each run.  White space alone is no sentence."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, off = text_of(batch, "t")
+            for x, y in chunks(off):
+                row, number, words, hashes = [], [], [], []
+                for k in range(x, y):
+                    i = -1
+                    for piece in END_BYTES.split(raw[off[k] : off[k + 1]].tobytes().lower()):
+                        i += piece != b""
+                        if parts := piece.split():
+                            row.append(k)
+                            number.append(i)
+                            words.append(len(parts))
+                            hashes.append(hashlib.blake2b(b" ".join(parts), digest_size=8).digest())
+                first, last = spans(np.array(row, np.int64), np.array(words, np.int64), least)
+                if not len(first):
+                    continue
+                value = np.frombuffer(b"".join(hashes), np.uint64)
+                sums, inverse = prefix_hash(np.arange(len(value)), value)
+                h = mix64((sums[last + 1] - sums[first]) * inverse[first]).view(np.int64)
+                of, place = pa.array(np.array(row)[first]), np.array(number, np.int32)
+                cols = [batch.column("id").take(of), batch.column("tid").take(of), pa.array(h), pa.array(place[first]), pa.array(place[last])]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "tid", "h", "i", "j"])
+
+    return arrow_map(docs.select("id", "tid", "t"), run, "id long, tid long, h long, i int, j int")
 
 
 def repeated(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(id, tid, cut): numbers of the sentences to remove, of the texts that have any."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    runs = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text).alias("tid"), F.explode(runs_of(text, least)).alias("r"))
-    runs = runs.select("id", "tid", "r.h", "r.i", "r.j")
-    runs = runs.groupBy("h", "id", "tid", "i", "j").agg(F.count(F.lit(1)).alias("c"))  # equal rows are one
-    runs = written(runs.drop("c"))
+    # equal rows give the same places twice, which are one place below
+    runs = written(runs_of(docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("tid"), text.alias("t")), least))
     first = runs.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "tid", "i")).alias("f")).where("n > 1").select("h", "f")
     here = F.struct("id", "tid", "i")
     later = runs.join(first, "h").where(~here.eqNullSafe(F.col("f")))
