@@ -46,3 +46,18 @@ def test_dropped_rows_and_columns(spark, hard, empty):
     assert sorted(map(str, D.drop_contaminated(hard, bench).collect())) == sorted(map(str, hard.collect()))
     assert D.drop_contaminated(empty, bench).collect() == []
     assert D.drop_contaminated(hard, bench.limit(0)).columns == hard.columns
+
+
+def test_passages_are_cut_from_kept_rows(spark):
+    one, two = " ".join(f"i{k}" for k in range(200)), "Ünder a; B c d e f g h i j k, l m n o"
+    fill = lambda n, x: " ".join(f"{x}{k}" for k in range(n))
+    texts = {
+        1: f"{fill(9000, 'a')}. {one}! {fill(9000, 'b')}", 2: f"{fill(100, 'a')} {one}", 3: f"{fill(900, 'é')} ({two}) and short item {fill(3, 'c')}",
+        4: fill(20, "d"), 5: None, 6: f"{fill(900, 'e')} {' '.join(one.split(' ')[7:25])}",
+    }
+    docs = spark.createDataFrame([(i, t, len(t or ""), "s") for i, t in texts.items()], "doc_id long, text string, n_chars long, source string")
+    bench = spark.createDataFrame([("1", one), ("2", two), ("3", "short item")], "item_id string, text string")
+    got = {r["doc_id"]: r for r in D.drop_contaminated(docs, bench).collect()}
+    want = {1: f"{fill(9000, 'a')}. ! {fill(9000, 'b')}", 3: f"{fill(900, 'é')} () and short item {fill(3, 'c')}", 4: texts[4], 5: None, 6: fill(900, "e") + " "}
+    assert {i: r["text"] for i, r in got.items()} == want
+    assert all(r["n_chars"] == len(r["text"] or "") and r["source"] == "s" for r in got.values())

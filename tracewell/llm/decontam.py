@@ -5,6 +5,9 @@ ids.  Documents stream through it: at each word the automaton knows the longest
 A run of `window` words marks those words as hit; an item of fewer words is marked where it occurs whole.  Only
 stretches of words that all occur in the items, and are long enough, are walked; they are found on whole batches.
 
+A document of which hit words are 5 % or more is dropped.  From the others, hit runs of `window` words or more are cut;
+shorter ones are whole short items, which also occur by chance, and stay.  The query reports; `drop_contaminated` cuts.
+
 The automaton is broadcast.  Its size is checked: items are packed into blocks of at most `block_words` words, and
 documents pass one block after the other, with a table written in between, so that no executor holds more than a block.
 A block is a pass over the documents, as a stated query set in blocks.
@@ -221,12 +224,41 @@ def report(scanned: DataFrame) -> DataFrame:
     })
 
 
+def cut_spans(scanned: DataFrame, keep: tuple[str, ...], window: int = WINDOW) -> DataFrame:
+    """The kept columns of scanned and rest: the text without its hit runs of `window` words or more; null if it has none."""
+    long = F.filter("hits", lambda x: x[1] - x[0] >= window)
+    rows = scanned.select(*keep, long.alias("hits"), F.when(F.size(long) > 0, F.col("text")).alias("text"))
+    schema = schema_of(rows, keep, "rest string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, off = text_of(b, "text")
+            rest: list[str | None] = []
+            for k, hits in enumerate(b.column("hits").to_pylist()):
+                t = raw[off[k] : off[k + 1]]
+                if not hits:
+                    rest.append(None)
+                    continue
+                _, s, e = words_of(t, np.array([0, len(t)]))
+                keeps = np.ones(len(t), bool)
+                for x, y in hits:
+                    keeps[s[x] : e[y - 1]] = False
+                rest.append(t[keeps].tobytes().decode())
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(rest, pa.string())], names=schema.names)
+
+    return arrow_map(rows, run, schema)
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that are not contaminated, unchanged."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("text").cast("string").alias("text"))
-    out = report(scan(packed, benchmark)).where(~F.col("contaminated"))
-    return out.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
+    """The rows of docs that are not contaminated, without the passages of items that they hold.
 
+    Rows that hold none are unchanged; of others, text is cut, and n_chars counted anew where docs has it.
+    """
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("text").cast("string").alias("text"))
+    out = cut_spans(report(scan(packed, benchmark)).where(~F.col("contaminated")), ("__row",))
+    new = {"text": F.col("rest"), "n_chars": F.char_length("rest")}
+    value = lambda c: F.when(F.col("rest").isNull(), F.col("__row")[c]).otherwise(new[c].cast(docs.schema[c].dataType)) if c in new else F.col("__row")[c]
+    return out.select(*[value(c).alias(c) for c in docs.columns])
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
