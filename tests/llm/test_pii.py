@@ -52,3 +52,14 @@ def test_redaction():
     t = "mail a@b.co now +1 (988) 555-2485 é 1.2.3.4"
     base, added = P.find(t, P.model())
     assert P.redact(t, base + added) == "mail [email] now [phone] é [ip]"
+
+
+def test_long_secrets_are_taken_whole():
+    judge, r = P.model(), random.Random(8)
+    pick = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-"
+    for secret in (".".join(pick(mixed, n) for n in (40, 300, 90)), pick("ABCDEFGHKLMNPQR0123456789", 80), pick("0123456789abcdef", 128)):
+        text = f"we set token={secret} and went on"
+        assert P.redact(text, P.find(text, judge)[1]) == P.redact(text, [("secret", 13, 13 + len(secret))]), secret
+        bare = f"so {secret} it is"
+        assert "." in secret or ("secret", 3, 3 + len(secret)) in P.candidates(bare)

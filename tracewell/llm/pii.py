@@ -19,6 +19,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,9 +84,9 @@ def base_spans(t: str) -> list[tuple[str, int, int]]:
 # -- candidates ------------------------------------------------------------------------------------------------
 
 GENERATORS = (
-    ("secret", re.compile(r"(?:pass(?:word|wd)|pwd|token|secret|key|Pass(?:word)?|Token|Secret|Key|PASSWORD|TOKEN|SECRET|KEY)\x20?[:=]\x20?[\"']?([^\s\"']{6,128})"), 1),
-    ("secret", re.compile(r"(?<![A-Za-z0-9])[A-Z0-9]{16,40}(?![A-Za-z0-9])"), 0),
-    ("secret", re.compile(r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])"), 0),
+    ("secret", re.compile(r"(?:pass(?:word|wd)|pwd|token|secret|key|Pass(?:word)?|Token|Secret|Key|PASSWORD|TOKEN|SECRET|KEY)\x20?[:=]\x20?[\"']?([^\s\"']{6,}+)"), 1),
+    ("secret", re.compile(r"(?<![A-Za-z0-9])[A-Z0-9]{16,}+(?![A-Za-z0-9])"), 0),
+    ("secret", re.compile(r"(?<![0-9A-Za-z])[0-9a-f]{32,}+(?![0-9A-Za-z])"), 0),
     ("national", re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}[-\x20][0-9]{2}[-\x20][0-9]{4}(?![0-9A-Za-z-])"), 0),
     ("account", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"), 0),
 )
@@ -105,7 +106,7 @@ def iban_ok(s: str) -> bool:
 def features(t: str, kind: str, a: int, b: int) -> list[float]:
     s, before = t[a:b], t[max(0, a - CONTEXT) : a].lower()
     n = len(s)
-    counts = [s.count(c) for c in set(s)]
+    counts = Counter(s).values()
     entropy = -sum(c / n * math.log2(c / n) for c in counts)
     digits, upper = sum(c.isdigit() for c in s), sum(c.isupper() for c in s)
     switches = sum(x.isdigit() != y.isdigit() for x, y in zip(s, s[1:]))
