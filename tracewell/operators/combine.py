@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import bucket
@@ -21,19 +21,19 @@ def sizes(df: DataFrame, field: str) -> DataFrame:
 
 
 def grouped(df: DataFrame, field: str) -> DataFrame:
-    """Rows with their group, its size and its rank (largest first, then by key).
+    """Rows with their group (_group) and its size (_n); groups are ordered by size, the largest first, then by key.
 
-    Sizes are aggregated and joined back, so that a hot group is no single task.
+    Sizes are aggregated and joined back, so that a hot group is no single task, and groups are not ranked: they may be many.
     """
-    s = sizes(df, field)
-    s = s.withColumn("_rank", F.row_number().over(Window.orderBy(F.desc("_n"), "_group")))  # a row for each group
-    return df.withColumn("_group", text_value(F.col(field))).join(s, "_group")
+    return df.withColumn("_group", text_value(F.col(field))).join(sizes(df, field), "_group")
 
 
 def top_groups(df: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """Rows of the first n groups, and the count of the rest."""
-    gone = df.where(F.col("_rank") > n).agg(F.count(F.lit(1)).alias("n"))
-    return df.where(F.col("_rank") <= n), gone
+    s = df.groupBy("_group").agg(F.max("_n").alias("_n"))
+    first = s.orderBy(F.desc("_n"), "_group").limit(n).select("_group")
+    gone = s.join(first, "_group", "left_anti").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"))
+    return df.join(first, "_group", "left_semi"), gone
 
 
 def top_rows(df: DataFrame, n: int, order: list[Column]) -> tuple[DataFrame, DataFrame]:

@@ -20,18 +20,18 @@ def named(decls: DataFrame, symbol: str) -> DataFrame:
     return decls.where((s == symbol) | s.endswith("." + symbol) | F.lit(symbol).endswith(F.concat(F.lit("."), s)))
 
 
-def innermost(sites: DataFrame, decls: DataFrame, keys: list[str]) -> DataFrame:
+def innermost(sites: DataFrame, decls: DataFrame) -> DataFrame:
     """Sites that lie in a declaration of their file, with the innermost one: shortest, then latest start, then name.
 
-    The interval join runs on (file, block of lines), so that a file's sites meet only declarations near them.
+    The interval join runs on (file, block of lines), so that a file's sites meet only declarations near them.  Equal sites
+    are one.
     """
     block = 64
     d = decls.select("file", "symbol", "line_a", "line_b", F.explode(F.sequence(F.floor(F.col("line_a") / block), F.floor(F.col("line_b") / block))).alias("_b"))
     s = sites.withColumn("_b", F.floor(F.col("line") / block))
     inside = s.join(d, ["file", "_b"]).where((F.col("line_a") <= F.col("line")) & (F.col("line") <= F.col("line_b")))
     best = F.struct((F.col("line_b") - F.col("line_a")).alias("w"), (-F.col("line_a")).alias("a"), "symbol")
-    rest = [c for c in sites.columns if c not in keys]
-    return inside.groupBy(*keys).agg(*[F.first(c).alias(c) for c in rest], F.min(best).alias("_d")).select(*sites.columns, F.col("_d.symbol").alias("symbol"))
+    return inside.groupBy(*sites.columns).agg(F.min(best).alias("_d")).select(*sites.columns, F.col("_d.symbol").alias("symbol"))
 
 
 def root_cause(fails: DataFrame, changed: DataFrame, decls: DataFrame, generation: str) -> DataFrame:
@@ -39,7 +39,7 @@ def root_cause(fails: DataFrame, changed: DataFrame, decls: DataFrame, generatio
     declarations at all, as they are (precision `file`).  A failure outside all of its file's declarations is left out."""
     touched = changed.where(F.col("generation") == generation).select("file").distinct()
     here = fails.join(touched, "file", "left_semi")
-    found = innermost(here, decls, ["test"]).withColumn("precision", F.lit("symbol"))
+    found = innermost(here, decls).withColumn("precision", F.lit("symbol"))
     bare = here.join(decls.select("file").distinct(), "file", "left_anti")
     bare = bare.withColumns({"symbol": F.lit(None).cast("string"), "precision": F.lit("file")})
     return found.unionByName(bare)
@@ -60,7 +60,7 @@ def shared_class(fails: DataFrame, least: int = 2) -> DataFrame:
 def shared_cause(fails: DataFrame, decls: DataFrame) -> DataFrame:
     """Groups of at least two tests by (file, class) and by (file, innermost symbol)."""
     by_class = shared_class(fails).select(F.lit("class").alias("axis"), "file", F.col("failure_class").alias("key"), "n", "tests")
-    g = innermost(fails, decls, ["test"]).groupBy("file", "symbol")
+    g = innermost(fails, decls).groupBy("file", "symbol")
     by_symbol = g.agg(F.countDistinct("test").alias("n"), F.array_join(F.array_sort(F.collect_set("test")), ",").alias("tests")).where("n >= 2")
     return by_class.unionByName(by_symbol.select(F.lit("symbol").alias("axis"), "file", F.col("symbol").alias("key"), "n", "tests"))
 
@@ -70,7 +70,7 @@ def in_changed(sites: DataFrame, changed: DataFrame, decls: DataFrame, generatio
     touched = changed.where(F.col("generation") == generation).select("file").distinct()
     here = sites.join(touched, "file", "left_semi")
     keys = [c for c in here.columns if c in ("test", "file", "line", "col_a")]
-    inner = innermost(here.select(*keys), decls, keys)
+    inner = innermost(here.select(*keys), decls)
     return here.join(inner.select(*keys, "symbol"), keys, "left")
 
 

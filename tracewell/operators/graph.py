@@ -1,11 +1,13 @@
 """Graph operators over edges (src, dst, line, tier): neighbours, bounded reach, rank, cycles, closures, liveness.
 
-Loops are bounded and run on the driver; every round is a distributed join.
+Loops run on the driver, to a depth or to the end; every round is a distributed join, written as a table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import count
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import settled
@@ -27,11 +29,12 @@ def neighbours(edges: DataFrame, node, direction: str, unscoped: bool = False) -
     return shown, hidden
 
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
-    """(node, depth) least steps along (src, dst) from seeds (node), at most `depth`; seeds count once reached again."""
+def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = MOST_DEPTH) -> DataFrame:
+    """(node, depth) least steps along (src, dst) from seeds (node), at most `depth` (None: to the end); seeds count once
+    reached again."""
     step = settled(edges.select("src", "dst").distinct())
     frontier, found = seeds.select("node").distinct(), None
-    for d in range(1, min(depth, MOST_DEPTH) + 1):
+    for d in count(1) if depth is None else range(1, min(depth, MOST_DEPTH) + 1):
         nxt = frontier.join(step, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         if found is not None:
             nxt = nxt.join(found.select("node"), "node", "left_anti")
@@ -70,22 +73,26 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataF
     e = settled(e.join(out, "src"))
     nodes = settled(e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct())
     score = nodes.withColumn("score", F.lit(1.0))
-    for _ in range(rounds):
+    for i in range(rounds):
         given = e.join(score, F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("score") / F.col("deg")).alias("s"))
         score = nodes.join(given, F.col("node") == F.col("dst"), "left").select("node", (F.lit(1 - damping) + damping * F.coalesce("s", F.lit(0.0))).alias("score"))
+        if i % 3 == 2:
+            score = settled(score)
     return score
 
 
-def cycles(edges: DataFrame, rounds: int = 20) -> DataFrame:
+def cycles(edges: DataFrame) -> DataFrame:
     """(node, component) of nodes on cycles: both ways reach of least labels, trimmed until nothing changes.
 
+    Rounds go on until no edge is left; each settles the component of the least node, at least.
+
     Each round: nodes without an edge in or out are trimmed; the least node that reaches a node, and the least that a
     node reaches, agree only within a component; those that agree are settled, and edges between others are cut.
     """
     loops = edges.where("src = dst").select("src").distinct()
     e = edges.where("src <> dst").select("src", "dst").distinct()
     done = None
-    for _ in range(rounds):
+    while True:
         e = _trim(e)
         if e.isEmpty():
             break
@@ -94,7 +101,7 @@ def cycles(edges: DataFrame, rounds: int = 20) -> DataFrame:
         agreed = both.where("f = b").select("node", F.col("f").alias("component"))
         # a node that agrees with itself alone lies between cycles, on none
         agreed = agreed.join(agreed.groupBy("component").count().where("count > 1").select("component"), "component", "left_semi").select("node", "component")
-        done = agreed if done is None else done.unionByName(agreed)
+        done = settled(agreed if done is None else done.unionByName(agreed))
         rest = both.where("f <> b")
         s = rest.select(F.col("node").alias("src"), F.col("f").alias("fs"), F.col("b").alias("bs"))
         d = rest.select(F.col("node").alias("dst"), F.col("f").alias("fd"), F.col("b").alias("bd"))
@@ -128,7 +135,16 @@ def _least(e: DataFrame, start: str, end: str) -> DataFrame:
         mark = now
 
 
-def dead(objects: DataFrame, roots: DataFrame, edges: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
-    """Objects (node) that no root reaches over edges within `depth` steps."""
-    live = reach(edges, roots, depth).select("node").unionByName(roots.select("node")).distinct()
+def dead(objects: DataFrame, roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """Objects (node) that no root reaches over edges, in any number of steps."""
+    live = reach(edges, roots, None).select("node").unionByName(roots.select("node")).distinct()
     return objects.join(live, "node", "left_anti")
+
+
+def around(edges: DataFrame, nodes: DataFrame, most: int = 4) -> DataFrame:
+    """(node, relation, other, line): callers and callees of each node (node), the first `most` by relation, place and name."""
+    back = edges.join(nodes.select(F.col("node").alias("dst")).distinct(), "dst").select(F.col("dst").alias("node"), F.lit("caller").alias("relation"), F.col("src").alias("other"), "line")
+    ahead = edges.join(nodes.select(F.col("node").alias("src")).distinct(), "src").select(F.col("src").alias("node"), F.lit("callee").alias("relation"), F.col("dst").alias("other"), "line")
+    both = back.unionByName(ahead).groupBy("node", "relation", "other").agg(F.min("line").alias("line"))
+    by = Window.partitionBy("node").orderBy("relation", "line", "other")
+    return both.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= most).drop("_r")

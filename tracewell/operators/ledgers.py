@@ -141,13 +141,21 @@ def task_fold(rows: DataFrame) -> DataFrame:
 def pending(signals: DataFrame, receipts: DataFrame, subscribers: DataFrame, now: Column, cap: int = 32) -> DataFrame:
     """Signals a subscriber has not received, alive, at most `cap` of each: interrupts first, then the oldest.
 
-    A signal to * is due to each subscriber by itself.
+    A signal to * is due to each subscriber by itself.  A subscriber with k receipts of such signals needs only the first
+    cap + k of them, so these are met by their rank: an equi-join, and not all signals with all subscribers.
     """
+    first = (F.when(F.col("kind") == "interrupt", 0).otherwise(1), F.col("ts"), F.col("signal_id"))
     alive = signals.where(F.col("expires_at") > now)
     direct = alive.where("addressee <> '*'").withColumn("subscriber", F.col("addressee"))
-    wide = alive.where("addressee = '*'").crossJoin(F.broadcast(subscribers.select("subscriber").limit(1000)))
-    due = direct.unionByName(wide).join(receipts.select("signal_id", "subscriber").distinct(), ["signal_id", "subscriber"], "left_anti")
-    by = Window.partitionBy("subscriber").orderBy(F.when(F.col("kind") == "interrupt", 0).otherwise(1), "ts", "signal_id")
+    got = receipts.select("signal_id", "subscriber").distinct()
+    wide = alive.where("addressee = '*'")
+    known = got.join(wide.select("signal_id"), "signal_id", "left_semi").groupBy("subscriber").agg(F.count(F.lit(1)).alias("k"))
+    want = subscribers.select("subscriber").distinct().join(known, "subscriber", "left").withColumn("k", F.coalesce("k", F.lit(0)) + cap)
+    most = want.agg(F.max("k")).first()[0] or 0
+    ranked = wide.orderBy(*first).limit(most).withColumn("rank", F.row_number().over(Window.orderBy(*first)))  # of `most` rows
+    wide = want.select("subscriber", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))).alias("rank")).join(ranked, "rank").drop("rank")
+    due = direct.unionByName(wide.select(*direct.columns)).join(got, ["signal_id", "subscriber"], "left_anti")
+    by = Window.partitionBy("subscriber").orderBy(*first)
     return due.withColumn("place", F.row_number().over(by)).where(F.col("place") <= cap)
 
 
@@ -162,5 +170,5 @@ def fan_out(publish: DataFrame, watches: DataFrame) -> DataFrame:
     Prefixes of the published selector are exploded, so this is an equi-join.
     """
     heads = publish.withColumn("head", F.explode(F.transform(F.sequence(F.lit(0), F.length("selector")), lambda i: F.substr(F.col("selector"), F.lit(1), i))))
-    w = watches.select("topic", F.col("selector").alias("head"), "subscriber")
+    w = watches.select("topic", F.col("selector").alias("head"), "subscriber").distinct()
     return heads.join(w, ["topic", "head"]).select("signal_id", "subscriber", "kind").distinct()

@@ -42,7 +42,7 @@ def diff_census(t: str) -> list[tuple]:
     """
     files: dict[str, list[int]] = {}
     order, path, old, new = [], "", 0, 0
-    lines = t.split("\n")
+    lines = t.removesuffix("\n").split("\n")
     for i, line in enumerate(lines):
         inside = old > 0 or new > 0
         header = line.startswith("--- ") and i + 1 < len(lines) and lines[i + 1].startswith("+++ ") and (i + 2 >= len(lines) or lines[i + 2].startswith("@@"))

@@ -8,6 +8,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import settled
+
 # Weights of a term by its shape.
 SPAN, CODE, PLAIN, PART = 2.0, 1.5, 1.0, 0.6
 MOST_TERMS = 24
@@ -72,9 +74,21 @@ def pack(docs: DataFrame, key: str, weighed: list[tuple[str, float]], text: str
 
 
 def fit(rows: DataFrame, cost: str, room: int, order: list[Column]) -> DataFrame:
-    """The longest prefix of a total order whose costs fit; for ranked, already bounded rows."""
-    by = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("used", F.sum(cost).over(by)).where(F.col("used") <= room)
+    """The longest prefix of a total order whose costs fit: running sums over ranges of the order.
+
+    Rows are written in ranges; the driver gets one sum a range.
+    """
+    parts = settled(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    before, total = [], 0
+    for p, n in sorted((r["_p"], r["n"]) for r in parts.groupBy("_p").agg(F.sum(cost).alias("n")).collect()):
+        if total <= room:
+            before += [F.lit(p), F.lit(total)]
+        total += n or 0
+    if not before:
+        return rows.withColumn("used", F.lit(0).cast("long")).limit(0)
+    by = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = F.try_element_at(F.create_map(*before), F.col("_p"))
+    return parts.withColumn("used", start + F.sum(cost).over(by)).where(F.col("used") <= room).drop("_p")
 
 
 def block_relevance(blocks: DataFrame, wanted: list[str]) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.globs import glob_regex
 from ..functions.text import trigrams
+from ..sources.tables import shared_dir
 
 FILTERS = ("file", "path", "lang", "sym", "case", "type", "after", "before", "author", "rev")
 
@@ -49,14 +52,42 @@ def file_test(query: Query, columns: list[str]) -> Column:
     for name, value, negated in query.filters:
         if name in ("file", "path"):
             t = F.col("file").rlike(glob_regex(value) if any(c in value for c in "*?[") else value)
-        elif name == "lang" and "lang" in columns:
-            t = F.col("lang") == value
-        else:
+        elif name == "case":
             continue
+        elif name in columns:
+            t = F.col(name) == value
+        else:
+            raise ValueError(f"{name}: does not apply to these rows")
         test = test & (~t if negated else t)
     return test
 
 
+def whole_texts(docs: DataFrame, text: str, query: Query) -> DataFrame:
+    """Documents that may hold a matching line: each pattern that no line end can stop is tried on the whole text first."""
+    if not query.patterns or any(re.search(r"[$^]|\(\?[!=<]|\\[AZzBGsSWDn]", p) for p in query.patterns):
+        return docs
+    test = F.lit(False)
+    for p in query.patterns:
+        test = test | F.col(text).rlike(regex(query, p))
+    return docs.where(test)
+
+
+def narrowed(lines: DataFrame, query: Query, decls: DataFrame | None = None, langs: DataFrame | None = None) -> tuple[DataFrame, Query]:
+    """Lines of the files that sym: (defining files) and lang: ask for, and the query without these filters."""
+    rest = []
+    for name, value, negated in query.filters:
+        of = None
+        if name == "sym" and decls is not None:
+            of = decls.where((F.col("symbol") == value) | F.col("symbol").endswith("." + value)).select("file").distinct()
+        elif name == "lang" and langs is not None and "lang" not in lines.columns:
+            of = langs.where(F.col("lang") == value).select("file").distinct()
+        if of is None:
+            rest.append((name, value, negated))
+        else:
+            lines = lines.join(of, "file", "left_anti" if negated else "left_semi")
+    return lines, Query(query.patterns, tuple(rest), query.every)
+
+
 def sites(lines: DataFrame, query: Query) -> DataFrame:
     """(file, line, col_a, col_b, text): the leftmost match of each matching line, columns from 1, the end exclusive."""
     rows = lines.where(file_test(query, lines.columns))
@@ -112,6 +143,45 @@ def trigram_index(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return docs.select(F.col(key).cast("string").alias("file"), F.explode(trigrams(F.col(text))).alias("gram"))
 
 
+#: Segments of a stored index above which it is written anew as one.
+MOST_SEGMENTS = 16
+
+
+def stored_index(docs: DataFrame, key: str, at: str | None = None, text: str = "text") -> DataFrame:
+    """trigram_index(docs) as a table in the shared folder (or `at`), kept in step with the data files of docs.
+
+    Segments are Parquet folders in the order of grams, each with the data files (path, size, time of change) it was made
+    from.  A file that is new or has changed gets into a new segment; rows of files that are gone or have changed no longer
+    count; above MOST_SEGMENTS segments the index is written anew.  Only the files' metadata are read to find out.
+    """
+    spark = docs.sparkSession
+    print_of = F.concat_ws("|", F.col("_metadata.file_path"), F.col("_metadata.file_size").cast("string"), F.col("_metadata.file_modification_time").cast("string"))
+    now = {r[0] for r in docs.select(print_of.alias("f")).distinct().collect()}  # a name for each data file
+    name = at or f"{shared_dir(spark)}/trigrams-{hashlib.sha256('|'.join([key, text, *docs.inputFiles()]).encode()).hexdigest()[:16]}"
+    segments = _SEGMENTS.setdefault(name, [])
+    live = [(path, files) for path, files in segments if files & now]
+    new = now - {f for _, files in live for f in files}
+    if new and len(live) >= MOST_SEGMENTS:
+        live, new = [], now
+    if new:
+        path = f"{name}/{uuid.uuid4().hex}"
+        of = docs.select(F.col(key), F.col(text), print_of.alias("_f"))
+        rows = of if new == now else of.where(F.col("_f").isin(sorted(new)))
+        rows = rows.select(F.col(key).cast("string").alias("file"), "_f", F.explode(trigrams(F.col(text))).alias("gram"))
+        rows.repartitionByRange("gram").sortWithinPartitions("gram", "file").write.parquet(path)
+        live.append((path, new))
+    _SEGMENTS[name] = live
+    out = None
+    for path, files in live:
+        seg = spark.read.schema("file string, _f string, gram string").parquet(path)
+        seg = seg if files <= now else seg.where(F.col("_f").isin(sorted(files & now)))
+        out = seg if out is None else out.unionByName(seg)
+    return trigram_index(docs, key, text) if out is None else out.select("file", "gram")
+
+
+_SEGMENTS: dict[str, list[tuple[str, set[str]]]] = {}
+
+
 def required(pattern: str) -> list | None:
     """What a match of the regex must hold, as nested ["and"|"or", ...] of literals of three characters or more.
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from ..operators import combine
@@ -41,6 +42,7 @@ class Rejection:
 class Result:
     frames: dict[str, EvidenceFrame] = field(default_factory=dict)
     skipped: dict[str, str] = field(default_factory=dict)
+    errors: dict[str, str] = field(default_factory=dict)
 
 
 def validate(plan: dict, tier: str = "full", stages=None) -> list[Rejection]:
@@ -142,10 +144,10 @@ def execute(context: Context, plan: dict) -> Result:
                 continue
         try:
             result.frames[sid] = _step(context, s, result)
-        except Exception:
+        except (PipelineError, ValueError, PySparkException) as e:  # of the engine; anything else is a fault of the code
             if s.get("on_error") == "fail":
                 raise
-            result.skipped[sid] = "error"
+            result.skipped[sid], result.errors[sid] = "error", str(e)
     return result
 
 
@@ -179,6 +181,8 @@ INTENTS: dict[str, list[dict]] = {
         {"id": "touched", "op": "in-changed", "input": "fails", "when": "fails.count > 0"},
         {"id": "shared", "op": "shared-cause", "input": "fails"},
     ],
+    "compare": [{"id": "before", "op": "fails", "args": ["{0}"]}, {"id": "after", "op": "fails", "args": ["last"], "after": ["before"]}],
+    "verify": [{"id": "fails", "op": "fails", "args": ["last"]}, {"id": "left", "op": "in-changed", "input": "fails", "args": ["{0}"], "when": "fails.outcome == pass"}],
     "review": [{"id": "fails", "op": "fails"}, {"id": "changed", "op": "in-changed", "input": "fails"}, {"id": "files", "op": "files", "input": "changed"}],
 }
 

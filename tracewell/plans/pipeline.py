@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import combine, facts, graph, search
+from ..operators import combine, evidence, facts, graph, search
 from ..sources import tables
 from .frame import KINDS, TERMINAL, EvidenceFrame
 from .registry import STAGES, register
@@ -88,7 +88,35 @@ def _int(args: list[str], default: int) -> int:
 
 def _search(c: Context, _, args: list[str]) -> EvidenceFrame:
     query = search.parse_query(args)
-    return EvidenceFrame(search.sites(c.lines(), query), "sites", (F.col("file"), F.col("line")))
+    docs = tables.table(c.spark, c.sf_dir, "documents")
+    lines = tables.lines(search.whole_texts(docs, "text", query), "doc_id")
+    lines, query = search.narrowed(lines, query, tables.decls(c.spark, c.sf_dir), docs.select(F.col("doc_id").cast("string").alias("file"), "lang"))
+    return EvidenceFrame(search.sites(lines, query), "sites", (F.col("file"), F.col("line")))
+
+
+def _refs(c: Context, _, args: list[str]) -> EvidenceFrame:
+    if not args:
+        raise PipelineError("refs takes a name")
+    return EvidenceFrame(evidence.references(tables.table(c.spark, c.sf_dir, "documents"), tables.occurrences(c.spark, c.sf_dir), args[0]), "sites", (F.col("file"), F.col("line")))
+
+
+def _commits(c: Context, _, args: list[str]) -> EvidenceFrame:
+    most = _int([args[args.index("--max") + 1]], 40) if "--max" in args else 40
+    words = [a for i, a in enumerate(args) if a != "--max" and (not i or args[i - 1] != "--max")]
+    df = evidence.commits(tables.commits(c.spark, c.sf_dir), search.parse_query(words))
+    order = (F.desc("at"), F.col("commit"))
+    df, gone = combine.top_rows(df, most, list(order))
+    return EvidenceFrame(df, "records", order, omitted=(gone,))
+
+
+def _history(c: Context, f: EvidenceFrame, args: list[str]) -> EvidenceFrame:
+    df, gone = evidence.history(f.df, tables.commit_files(c.spark, c.sf_dir))
+    return f.with_rows(df, omitted=(*f.omitted, gone))
+
+
+def _outline(c: Context, f: EvidenceFrame, args: list[str]) -> EvidenceFrame:
+    df, gone = evidence.outline(f.df, tables.decls(c.spark, c.sf_dir))
+    return f.with_rows(df, kind="text", group=None, order=(F.col("file"), F.col("line"), F.col("text")), omitted=(*f.omitted, gone))
 
 
 def _records(c: Context, _, args: list[str]) -> EvidenceFrame:
@@ -140,8 +168,8 @@ def _where(_, f: EvidenceFrame, args: list[str]) -> EvidenceFrame:
 def _group(_, f: EvidenceFrame, args: list[str]) -> EvidenceFrame:
     if not args:
         raise PipelineError("group takes a field")
-    df = f.df.select(*[c for c in f.df.columns if c not in ("_group", "_n", "_rank")])
-    return f.with_rows(combine.grouped(df, args[0]), group="_group", order=(F.col("_rank"), *f.order))
+    df = f.df.select(*[c for c in f.df.columns if c not in ("_group", "_n")])
+    return f.with_rows(combine.grouped(df, args[0]), group="_group", order=(F.desc("_n"), F.col("_group"), *f.order))
 
 
 def _top(_, f: EvidenceFrame, args: list[str]) -> EvidenceFrame:
@@ -191,6 +219,10 @@ for _name, _run, _takes, _gives, _cost in (
     ("search", _search, (), "sites", "scan"),
     ("records", _records, (), "records", "scan"),
     ("fails", _fails, (), "sites", "index"),
+    ("refs", _refs, (), "sites", "scan"),
+    ("commits", _commits, (), "records", "index"),
+    ("history", _history, ("sites", "files"), None, "index"),
+    ("outline", _outline, ("sites", "files"), "text", "index"),
     ("decls", _decls, (), "symbols", "index"),
     ("corpus", _corpus, (), "files", "index"),
     ("callers", _edges("callers"), (), "symbols", "index"),

@@ -24,9 +24,12 @@ _FOLDERS: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this process in the one that all executors see; where the session names none, in a temporary one.
 
-    It holds what `settled` writes.  A local one is removed when the process ends; in a store, it may go at any time after.
+    It holds what `settled` writes; only a local session may do without one.  A local one is removed when the process ends; in a store, it may go at any time after.
     """
-    top = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints").rstrip("/")
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    top = (top or f"file://{tempfile.gettempdir()}/checkpoints").rstrip("/")
     if top not in _FOLDERS:
         _FOLDERS[top] = f"{top}/tracewell-{uuid.uuid4().hex}"
         if top.startswith(("/", "file:")):
@@ -86,13 +89,30 @@ def decls(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.pmod(F.col("o_orderkey"), F.lit(150))
     return o.select(
         F.concat(F.lit("s"), F.col("o_orderkey").cast("string")).alias("symbol"), F.col("o_orderpriority").alias("kind"),
-        F.pmod(F.col("o_custkey"), F.lit(150)).cast("string").alias("file"), a.alias("line_a"), (a + 5 + F.pmod(F.col("o_orderkey"), F.lit(40))).alias("line_b"),
+        F.col("o_custkey").cast("string").alias("file"), a.alias("line_a"), (a + 5 + F.pmod(F.col("o_orderkey"), F.lit(40))).alias("line_b"),
     )
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """edges(src, dst, line, tier): parts call suppliers' parts; a third of them is out of scope (repo)."""
+    """edges(src, dst, line, tier): parts call the part that stands for their supplier; a third of them is out of scope (repo)."""
     li = table(spark, sf_dir, "lineitem")
     tier = F.when(F.col("l_returnflag") == "A", "local").when(F.col("l_returnflag") == "N", "import").otherwise("repo")
-    e = li.select((F.col("l_partkey") % 200).alias("src"), (F.col("l_suppkey") * 7 % 200).alias("dst"), F.col("l_linenumber").cast("long").alias("line"), tier.alias("tier"))
-    return e.where("line <= 2 and (src + dst) % 11 = 0").distinct()
+    return li.select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") * 7).alias("dst"), F.col("l_linenumber").cast("long").alias("line"), tier.alias("tier")).distinct()
+
+
+def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, line, symbol): an exact index of words; files whose number 3 divides have changed since it was made."""
+    rows = document_lines(spark, sf_dir).where(F.col("file").cast("long") % 3 != 0)
+    return rows.select("file", "line", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), 0))).alias("symbol"))
+
+
+def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(commit, at, author, text): orders."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("commit"), F.col("o_orderdate").alias("at"), F.concat(F.lit("c"), (F.col("o_custkey") % 10).cast("string")).alias("author"), F.col("o_orderpriority").alias("text"))
+
+
+def commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, commit, at): the files of each commit."""
+    o, li = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_partkey").cast("string").alias("file"), F.col("o_orderkey").alias("commit"), F.col("o_orderdate").alias("at"))
