@@ -19,17 +19,17 @@ def normal(s):
 
 
 def brute(rows, least):
+    """Sentences of each (id, text) in any run of two sentences or more that is not the run's first occurrence."""
     places, order = defaultdict(set), {}
     for (d, t), tid in rows:
         p = [(i, normal(s)) for i, s in enumerate(pieces(t))]
         p = [x for x in p if x[1]]
         for k in range(len(p)):
-            fit = [p[k : k + n] for n in S.LENGTHS if sum(len(x[1].split(" ")) for x in p[k : k + n]) >= least]
-            if fit:
-                part = fit[0]
-                key = (d is not None, d or 0, tid, part[0][0])
-                order[key] = (d, t)
-                places[tuple(x[1] for x in part)].add((key, part[-1][0]))
+            for m in range(k + 2, len(p) + 1):
+                if sum(len(x[1].split(" ")) for x in p[k:m]) >= least:
+                    key = (d is not None, d or 0, tid, p[k][0])
+                    order[key] = (d, t)
+                    places[hash(tuple(x[1] for x in p[k:m]))].add((key, p[m - 1][0]))
     cut = defaultdict(set)
     for where in places.values():
         for key, j in sorted(where)[1:]:

@@ -10,11 +10,12 @@ meet from end to end, and repeat with it at the same places, so the sentences re
 
 Runs are counted and their first places found by an aggregate that is combined before the shuffle; a run that a third of
 all documents share is one row there.  Its other occurrences are joined back to that row, and a hot run is split by
-adaptive execution, since its row is unique.  Nothing is capped.
+adaptive execution, since its row is unique and in a table of its own.  Nothing is capped.
 
 Defined cases: a null text is an empty one without sentences; a text of fewer than `least` words has no run; of equal
 rows (same id and text) none is first before the others, so all keep the run's first occurrence; an equal text under
-another id loses what its first copy holds; null ids sort before others; an empty table gives an empty result.
+another id loses what its first copy holds; null ids sort before others; a very long text is split into its sentences whole,
+so that memory grows with its length; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -95,6 +96,7 @@ def repeated(docs: DataFrame, least: int = LEAST) -> DataFrame:
     # equal rows give the same places twice, which are one place below
     runs = written(runs_of(docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("tid"), text.alias("t")), least))
     first = runs.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "tid", "i")).alias("f")).where("n > 1").select("h", "f")
+    first = written(first)  # a plain side, so that the join can split a hot run
     here = F.struct("id", "tid", "i")
     later = runs.join(first, "h").where(~here.eqNullSafe(F.col("f")))
     later = later.select("id", "tid", F.explode(F.sequence("i", "j")).alias("s"))
