@@ -19,7 +19,8 @@ matter, and texts need comparing only around these.  An anchor's span is all tha
 Nothing is capped, and no pair of copies is formed.  Texts travel compressed.
 
 Defined cases: a null text is an empty one; a text shorter than `length` loses nothing; equal texts of at least that length
-lose everything, in every copy; repeated rows are copies; null ids are kept; an empty table gives an empty result.
+lose everything, in every copy; repeated rows are copies; null ids are kept; an empty table gives an empty result; other
+columns are ignored; a very long text is searched in pieces of `PIECE` bytes.
 """
 
 from __future__ import annotations
@@ -124,13 +125,16 @@ def occurrences(docs: DataFrame, length: int, gram: int, hashes_only: bool = Fal
     return arrow_map(docs.select("t", "tid", "crc"), run, "h long" if hashes_only else "h long, sh long, tid long, loc long")
 
 
-def packed(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The kept columns and the text compressed, z."""
+def packed(docs: DataFrame, keep: list[str], once: str | None = None) -> DataFrame:
+    """The kept columns and the text compressed, z.  A task passes on the first row of each value of the column `once`."""
     schema = schema_of(docs, keep, "z binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = zstandard.ZstdCompressor(level=3)
+        seen: set = set()
         for b in batches:
+            if once:
+                b = b.filter(pa.array([k not in seen and not seen.add(k) for k in b.column(once).to_pylist()], pa.bool_()))
             raw, off = text_of(b, "t")
             z = [c.compress(raw[off[i] : off[i + 1]].tobytes()) for i in range(len(off) - 1)]
             yield pa.RecordBatch.from_arrays([b.column(k) for k in keep] + [pa.array(z, pa.binary())], names=schema.names)
@@ -205,6 +209,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     """(tid, crc, spans): the merged repeated stretches [first, end) of each text that has any."""
     texts = key_columns(docs)
     twice = occurrences(texts, length, gram, True).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    twice = written(twice)  # a plain side, so that the join can split a hot gram
     found = written(occurrences(texts, length, gram).join(twice, "h", "left_semi"))
     spans = written(found.groupBy("h", "sh").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tid", "loc")).alias("x")))
     many = spans.groupBy("h").agg(F.count(F.lit(1)).alias("d")).where("d > 1")
