@@ -61,3 +61,11 @@ def test_passages_are_cut_from_kept_rows(spark):
     want = {1: f"{fill(9000, 'a')}. ! {fill(9000, 'b')}", 3: f"{fill(900, 'é')} () and short item {fill(3, 'c')}", 4: texts[4], 5: None, 6: fill(900, "e") + " "}
     assert {i: r["text"] for i, r in got.items()} == want
     assert all(r["n_chars"] == len(r["text"] or "") and r["source"] == "s" for r in got.values())
+
+
+def test_columns_of_the_same_names_do_no_harm(spark):
+    docs = spark.createDataFrame([(1, "a b c", 7, "x")], "doc_id long, text string, n_words long, hits string")
+    bench = spark.createDataFrame([("1", "b c")], "item_id string, text string")
+    for block in (10**6, 1):
+        (row,) = D.report(D.scan(docs, bench, block_words=block)).collect()
+        assert (row["n_words"], row["n_hit"], row["items"]) == (3, 2, ["1"])

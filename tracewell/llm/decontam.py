@@ -14,7 +14,9 @@ A block is a pass over the documents, as a stated query set in blocks.
 
 Defined cases: a null document or item text has no words; an item without words is no window; an item that is longer
 than a block is one block; a null item_id is written as an empty string; repeated items and documents count each for
-themselves, but an item_id counts once; empty tables give no hits or an empty result; further columns are ignored.
+themselves, but an item_id counts once; a very long text is walked in one go, with memory in proportion to its words; windows of
+several items in one place give the place once and all their ids; empty tables give no hits or an empty result; further columns
+stay, but those named as the result's are replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map, chunks, schema_of, table, text_of, with_columns_of, words_of, written
 
 WINDOW = 13
-BLOCK_WORDS = 1_000_000
+#: Words of an automaton: about 900 bytes each in a Python worker, so some 180 MB.
+BLOCK_WORDS = 200_000
 
 
 class Automaton:
@@ -163,11 +166,10 @@ def merged(spans: list) -> list[list[int]]:
 STATE = "n_words long, hits array<array<int>>, items array<string>"
 
 
-def pass_block(docs: DataFrame, automaton: Automaton) -> DataFrame:
-    """docs with n_words, hits and items, added to what they hold already."""
+def pass_block(docs: DataFrame, automaton: Automaton, again: bool = False) -> DataFrame:
+    """docs with n_words, hits and items, added to what an earlier pass (again) has put there; else columns of these names go."""
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(automaton)  # at most a block, see item_blocks
-    again = "n_words" in docs.columns
     keep = [c for c in docs.columns if c not in ("n_words", "hits", "items")]
     schema = schema_of(docs, keep, STATE)
 
@@ -206,7 +208,7 @@ def item_blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with n_words, hits (maximal runs of hit words as [first, end)) and items (ids that occur)."""
     for i, automaton in enumerate(item_blocks(benchmark, window, block_words)):
-        docs = pass_block(written(docs) if i else docs, automaton)
+        docs = pass_block(written(docs) if i else docs, automaton, i > 0)
     return docs
 
 
