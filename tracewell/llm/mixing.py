@@ -14,7 +14,9 @@ give the same copies.  Only DataFrame functions are used; the tree has a fixed n
 
 Defined cases: a null text has size 0 and gets copies like any other; a null source is a source of its own, the last
 one; equal rows (same id and text) are drawn one by one; a source of size 0 has target 0 and no copies of it are
-taken; an empty table gives an empty result.
+taken; sources of equal weight are told apart by their names; a very long text is one document, whose copies are drawn like
+others'; an empty table gives an empty result; other columns, whatever their names, are kept by `mix`.  Sources are few: their
+targets take one task and one row each.
 """
 
 from __future__ import annotations

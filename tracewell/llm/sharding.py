@@ -11,7 +11,8 @@ so neither a large shard nor a hot text is one task.
 
 Defined cases: a null text is an empty one, of size 8; repeated rows and null ids are rows of their own, with their own
 slots; a group larger than the mean is a shard of its own at least; with fewer groups than shards, late shards are
-empty; an empty table gives an empty result.  `assign` keeps all columns of the input; its own replace those of their
+empty; ties of hashes keep a group whole, and rows of one bucket are placed by (hash, id); the size of a very long text is only
+counted; an empty table gives an empty result.  `assign` keeps all columns of the input; its own replace those of their
 names.
 """
 
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import table, with_columns_of, written
 
 BITS, FINER = 12, 6
+#: Starts of slots (shards times buckets) up to which they are broadcast.
+MOST_STARTS = 1_000_000
 
 
 def filled(ends: list[int], counts: list[int], capacity: int, shards: int, hopeful: bool) -> list[int] | None:
@@ -131,7 +134,8 @@ def assign(docs: DataFrame, shards: int, keyed: DataFrame | None = None) -> Data
     start = docs.sparkSession.createDataFrame(starts or [(0, 0, 0)], "s0 int, b0 long, start long")
     rows = keyed.withColumns({"shard": shard, "bucket": bucket})
     place = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("h", "__id"))
-    rows = rows.withColumn("place", place).join(F.broadcast(start), (F.col("shard") == F.col("s0")) & (F.col("bucket") == F.col("b0")))
+    start = F.broadcast(start) if len(starts) <= MOST_STARTS else start
+    rows = rows.withColumn("place", place).join(start, (F.col("shard") == F.col("s0")) & (F.col("bucket") == F.col("b0")))
     return rows.select(*[F.col("__row")[c].alias(c) for c in names], "size", "text_crc32", "shard", (F.col("start") + F.col("place") - 1).alias("slot"))
 
 
