@@ -132,3 +132,42 @@ def test_star_of_copies_is_one_class(spark):
             if root[i] != root[j] and N.similar(sets[i], sets[j], N.SIMILAR):
                 root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
     assert classes_of([got[i] for i in range(len(texts))]) == classes_of(root)
+
+
+def test_cells_find_every_link_between_components():
+    """Against all pairs, with repeated shingles, rare and frequent ones and dense blocks of few columns."""
+    r = random.Random(8)
+    pool = [f"w{i}" for i in range(60)]
+    base = [[r.choice(pool) for _ in range(r.randint(8, 60))] for _ in range(6)]
+    texts = []
+    for _ in range(90):
+        w = list(r.choice(base)) * r.choice((1, 1, 1, 2))
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(len(w))] = r.choice(pool)
+        texts.append(" ".join(w).encode())
+    texts += [b"", b"one", b"one", b"one two one two one two one two one two"]
+    y = np.array([r.random() < 0.6 for _ in texts])
+    root = np.array([r.randrange(40) for _ in texts])
+    rng = np.random.default_rng(2)
+    idf = rng.uniform(1, 2, N.CLASSES)
+    sets = [N.shingle_set(t, idf) for t in texts]
+    raw, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+
+    def joined(pairs):
+        at = {x: x for x in root.tolist()}
+        for i, j in pairs:
+            a, b = at[int(root[i])], at[int(root[j])]
+            at = {k: min(a, b) if v in (a, b) else v for k, v in at.items()}
+        return at
+
+    good = [(i, j) for i in range(len(texts)) for j in range(len(texts)) if not y[i] and y[j] and N.similar(sets[i], sets[j], 0.8)]
+    want = joined(good)
+    assert len(set(want.values())) > 5
+    dense, few = N.DENSE, N.FEW
+    try:
+        for N.DENSE, N.FEW in ((dense, few), (200, 3), (1, 1)):
+            got = N.links_of(raw, off, y, root, idf, 0.8)
+            assert set(got) <= set(good)
+            assert joined(got) == want
+    finally:
+        N.DENSE, N.FEW = dense, few

@@ -6,24 +6,25 @@ text times the mean idf of its words, 1 + log((N + 1) / (df + 1)) / log(N + 1),
 
 1. Each distinct text gets `BANDS * ROWS` samples (shingle, t).  Two texts share a sample with a probability of their
    weighted Jaccard similarity.  ROWS samples make a band; texts of one band hash share a bucket.
-2. In a bucket each text is paired with the bucket's leader and with the leader of its sub-bucket of about `SUB` texts,
-   both drawn anew in each band, by aggregates that are combined before the shuffle.  So a group of n copies gives at most
-   2 * BANDS * n pairs, never all, and mostly becomes one component by them.
-3. Pairs are verified on the whole texts: similar means a weighted Jaccard similarity of `SIMILAR` or more, or the same
-   for the plain one.  First one pair of each text is verified; then, of the rest, those that still lie in different
-   components.
-4. In a bucket whose texts still lie in several components, each text outside the bucket's largest component is paired
-   with every text of another component, in cells of at most about `CELL` by `CELL` texts, and these pairs are verified.
-   So each pair that shares a bucket lies in one component or has been verified.  The number of these pairs is
-   the product of the texts outside the largest component and all texts of the bucket: a bucket of n texts that are
-   pairwise not similar takes all its pairs.
+2. In a bucket each text is paired with the bucket's leader, the text of the least hash, by aggregates that are combined
+   before the shuffle.  So a group of n copies gives at most BANDS * n pairs, never all; copies that share all their buckets
+   have one leader in all of them.
+3. These pairs are verified on the whole texts: similar means a weighted Jaccard similarity of `SIMILAR` or more, or the same
+   for the plain one.  Verified pairs make components.
+4. In a bucket whose texts still lie in several components, the texts outside the bucket's largest component meet all texts
+   of the bucket in cells of bounded size.  A cell holds its texts' shingles as two matrices; their product gives the
+   similarities, and only links that join two components leave the cell, never its pairs.  So each pair that shares
+   a bucket lies in one component or has been verified.  Buckets of the same texts are met once.
+   Each text of a bucket goes to as many cells as the bucket has blocks of `CELL` bytes: few for a group of thousands, but
+   a group of n texts, pairwise not similar and yet sharing buckets, takes time that grows with n * n.
 5. Classes are the connected components of verified pairs and of equal texts.
 
 A pair of similarity 0.8 misses all bands with a probability of 0.0002; 0.9, of 10^-7.
 
 Defined cases: a null text is an empty one; texts without words are alike only if equal; a text of fewer than five words
 is one shingle; repeated rows share a class; class_id is the least doc_id of the class (null if it has none); an empty
-table gives an empty result; other columns are ignored.
+table gives an empty result; other columns are ignored; a very long text is taken whole, alone in its chunk, and its memory
+grows with its length; ties between equal samples fall to a hash of the shingle.
 """
 
 from __future__ import annotations
@@ -42,7 +43,9 @@ from .components import components
 from .substrings import key_columns, packed
 
 SHINGLE, SIMILAR = 5, 0.8
-BANDS, ROWS, SUB, CELL = 16, 4, 8, 256
+BANDS, ROWS = 16, 4
+#: Bytes of one side of a cell, TEXT more for each text; entries of a dense matrix; texts of a shingle up to which it is rare.
+CELL, TEXT, DENSE, FEW = 3 << 18, 1024, 1 << 22, 16
 CLASSES = 1 << 16
 ENTRIES, LEVELS, STEP = 1 << 12, 160, 0.08
 
@@ -62,19 +65,20 @@ def samples_table() -> np.ndarray:
     return (high | low).ravel()
 
 
-def weights(h: np.ndarray, ws: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of each row with their weights, and the first shingle of each row (with end)."""
+def counted(h: np.ndarray, ws: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each row with the weight of one and their counts, and the first shingle of each row (with end)."""
     sh, at, length, first = shingles_of(h, ws, SHINGLE)
     if not len(sh):
-        return sh, np.zeros(0), first
+        return sh, np.zeros(0), np.zeros(0, np.int64), first
     total = np.concatenate([[0.0], np.cumsum(idf[(h >> np.uint64(48)).astype(np.int64)])])
     w = (total[at + length] - total[at]) / length
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     key = mix64(sh + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     order = np.sort(key)
     twice = np.unique(order[1:][order[1:] == order[:-1]])
+    count = np.ones(len(sh), np.int64)
     if not len(twice):
-        return sh, w, first
+        return sh, w, count, first
     place = np.searchsorted(twice, key)
     place[place == len(twice)] = 0
     again = np.flatnonzero(twice[place] == key)
@@ -82,9 +86,14 @@ def weights(h: np.ndarray, ws: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray,
     keep = np.ones(len(sh), bool)
     keep[again] = False
     keep[again[one]] = True
-    w = w.copy()
-    w[again[one]] *= n
-    return sh[keep], w[keep], np.concatenate([[0], np.cumsum(keep)])[first]
+    count[again[one]] = n
+    return sh[keep], w[keep], count[keep], np.concatenate([[0], np.cumsum(keep)])[first]
+
+
+def weights(h: np.ndarray, ws: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each row with their weights, and the first shingle of each row (with end)."""
+    sh, w, n, first = counted(h, ws, idf)
+    return sh, w * n, first
 
 
 def document_frequency(texts: DataFrame) -> tuple[np.ndarray, int]:
@@ -156,37 +165,153 @@ def signatures(texts: DataFrame, idf: np.ndarray) -> DataFrame:
 
 
 def buckets(sig: DataFrame) -> DataFrame:
-    """(h, tid, l, s): the texts of each bucket of two or more, the bucket's leader and the text's sub-bucket."""
+    """(h, tid, l): the texts of each bucket of two or more and the bucket's leader."""
     rows = sig.select("tid", F.explode("bands").alias("h"))
-    lead = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(drawn(1)).alias("l")).where("n > 1")
-    return rows.join(lead, "h").select("h", "tid", F.col("l.tid").alias("l"), F.pmod(F.xxhash64("tid", "h"), F.ceil(F.col("n") / SUB)).alias("s"))
-
-
-def drawn(s: int):
-    return F.struct(F.xxhash64(F.lit(s), "h", "tid"), F.col("tid"))
+    drawn = F.struct(F.xxhash64(F.lit(1), "tid"), F.col("tid"))
+    lead = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(drawn).alias("l")).where("n > 1")
+    return rows.join(lead.select("h", F.col("l.tid").alias("l")), "h")
 
 
 def candidates(near: DataFrame) -> DataFrame:
-    """(a, b), a < b: each text with the leaders of its buckets and sub-buckets."""
-    sub = near.groupBy("h", "s").agg(F.min(drawn(2)).alias("m"))
-    both = near.join(sub, ["h", "s"]).select("tid", F.explode(F.array("l", F.col("m.tid"))).alias("o"))
-    return both.where("tid <> o").select(F.least("tid", "o").alias("a"), F.greatest("tid", "o").alias("b")).distinct()
+    """(a, b), a < b: each text with the leaders of its buckets."""
+    return near.where("tid <> l").select(F.least("tid", "l").alias("a"), F.greatest("tid", "l").alias("b")).distinct()
 
 
-def apart(near: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b), a < b: all pairs that share a bucket and lie in different components."""
+def cells(near: DataFrame, roots: DataFrame, need: DataFrame) -> DataFrame:
+    """(h, p, q, y, tid, r, z): the texts of each cell, on its first (y false) or second side, with their components r."""
     at = near.select("h", "tid").join(roots.toDF("node", "r"), F.col("tid") == F.col("node"), "left").select("h", "tid", F.coalesce("r", "tid").alias("r"))
-    at = written(at)
-    of = at.groupBy("h", "r").agg(F.count(F.lit(1)).alias("c")).groupBy("h")
-    of = of.agg(F.max(F.struct("c", "r")).alias("most"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    blocks = lambda n: F.ceil(n / CELL).cast("int")
-    of = of.select("h", F.col("most.r").alias("major"), blocks(F.col("n")).alias("all"), blocks(F.col("n") - F.col("most.c")).alias("few"))
-    at = written(at.join(of, "h"))
+    at = written(at.join(need.select(F.col("tid").alias("t0"), (F.col("size") + TEXT).alias("w")), F.col("tid") == F.col("t0")).drop("t0"))
+    mark = F.bit_xor(F.xxhash64("tid", F.lit(7)))
+    of = at.groupBy("h", "r").agg(F.count(F.lit(1)).alias("c"), F.sum("w").alias("w"), mark.alias("x"), F.min("tid").alias("m")).groupBy("h")
+    of = of.agg(F.max(F.struct("w", "r")).alias("most"), F.sum("w").alias("w"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("k"), F.bit_xor("x").alias("x"), F.min("m").alias("m"))
+    # the pair of a bucket of two is verified already; buckets of the same texts give the same links
+    of = of.where("k > 1 and n > 2").groupBy("n", "x", "m").agg(F.min(F.struct("h", "most", "w")).alias("b")).select("b.*")
+    blocks = lambda w: F.ceil(w / CELL).cast("int")
+    of = written(of.select("h", F.col("most.r").alias("major"), blocks(F.col("w")).alias("all"), blocks(F.col("w") - F.col("most.w")).alias("few")))
     block = lambda n: F.pmod(F.xxhash64("tid", "h"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    x = at.where("r <> major").select("h", block("few").alias("p"), every("all").alias("q"), F.col("tid").alias("x"), F.col("r").alias("rx"))
-    y = at.select("h", every("few").alias("p"), block("all").alias("q"), F.col("tid").alias("y"), F.col("r").alias("ry"))
-    return x.join(y, ["h", "p", "q"]).where("rx <> ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda p, q, y: F.struct(p.alias("p"), q.alias("q"), F.lit(y).alias("y"))
+    first = F.when(F.col("r") != F.col("major"), F.transform(every("all"), lambda q: cell(block("few"), q, False)))
+    second = F.transform(every("few"), lambda p: cell(p, block("all"), True))
+    met = at.join(of, "h").select("h", "tid", "r", F.explode(F.concat(F.coalesce(first, F.array().cast("array<struct<p:int,q:int,y:boolean>>")), second)).alias("c"))
+    return met.select("h", "c.*", "tid", "r").join(need.select(F.col("tid").alias("t0"), "z"), F.col("tid") == F.col("t0")).drop("t0")
+
+
+def shared(sh: np.ndarray, w: np.ndarray, n: np.ndarray, first: np.ndarray):
+    """Shingles found in two or more rows as numbered columns, the frequent ones first: rows and columns of the entries, in
+    the order of columns, the number of frequent columns, whether a column is the first of its shingle, and weights.
+
+    A shingle found k times in a row is k columns, so that sums of products are sums of least weights.
+    """
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    more = np.repeat(np.arange(len(sh)), n)
+    level = np.arange(len(more)) - np.repeat(np.cumsum(n) - n, n)
+    key, row = mix64(sh[more] + level.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), row[more]
+    _, one, col, df = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    two = np.flatnonzero(df > 1)
+    two = two[np.argsort(df[two] <= FEW, kind="stable")]
+    number = np.full(len(df), -1)
+    number[two] = np.arange(len(two))
+    col = number[col]
+    order = np.argsort(col, kind="stable")[np.count_nonzero(col < 0) :]
+    return row[order], col[order], np.count_nonzero(df[two] > FEW), level[one[two]] == 0, w[more][one[two]]
+
+
+def links_of(raw: np.ndarray, off: np.ndarray, y: np.ndarray, root: np.ndarray, idf: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs of rows (of the first side, of the second) that are similar: enough to join all components that have any."""
+    parts = []
+    for i, j in chunks(off):
+        o = off[i : j + 1] - off[i]
+        h, s, _ = words_of(raw[off[i] : off[j]], o)
+        parts.append(counted(h, np.searchsorted(s, o), idf))
+    sh, w, n = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[3]) for p in parts]))])
+    weight, kinds = np.diff(np.concatenate([[0.0], np.cumsum(w * n)])[first]), np.diff(first)
+    row, col, often, kind, of = shared(sh, w, n, first)
+    up, down = np.flatnonzero(~y), np.flatnonzero(y)
+    place = np.empty(len(y), np.int64)
+    place[up], place[down] = np.arange(len(up)), np.arange(len(down))
+    wide = max(1, DENSE // max(1, len(down)))
+    step = max(1, DENSE // max(1, len(down), min(wide, often)))
+    dense = np.searchsorted(col, [*range(0, often, wide), often])
+    joined: dict[int, int] = {}
+
+    def end(r: int) -> int:
+        while (up := joined.get(r, r)) != r:
+            r = up
+        return r
+
+    # entries of rare columns, paired across the sides
+    rare_i, rare_j, rare_c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    r, c = row[dense[-1] :], col[dense[-1] :]
+    for gap in range(1, FEW):
+        at = np.flatnonzero((c[gap:] == c[:-gap]) & (y[r[gap:]] != y[r[:-gap]]))
+        p, q = r[at], r[at + gap]
+        rare_i.append(place[np.where(y[p], q, p)])
+        rare_j.append(place[np.where(y[p], p, q)])
+        rare_c.append(c[at])
+    rare_i, rare_j, rare_c = (np.concatenate(x) for x in (rare_i, rare_j, rare_c))
+
+    out = []
+    for a in range(0, len(up), step):
+        few = up[a : a + step]
+        size = (len(few), len(down))
+        mine = (rare_i >= a) & (rare_i < a + step)
+        flat, c = (rare_i[mine] - a) * len(down) + rare_j[mine], rare_c[mine]
+        both = np.bincount(flat, of[c], minlength=size[0] * size[1]).astype(float).reshape(size)
+        same = np.bincount(flat, kind[c], minlength=size[0] * size[1]).astype(float).reshape(size)
+        for k in range(len(dense) - 1):
+            r, c = row[dense[k] : dense[k + 1]], col[dense[k] : dense[k + 1]] - k * wide
+            m = min(wide, often - k * wide)
+            right, x = np.zeros((len(down), m)), np.zeros((len(few), m))
+            right[place[r[y[r]]], c[y[r]]] = 1
+            mine = ~y[r] & (place[r] >= a) & (place[r] < a + step)
+            x[place[r[mine]] - a, c[mine]] = 1
+            same += (x * kind[k * wide : k * wide + m]) @ right.T
+            both += (x * of[k * wide : k * wide + m]) @ right.T
+        like = both >= least * (weight[few][:, None] + weight[down][None, :] - both) - 1e-9
+        like |= same >= least * (kinds[few][:, None] + kinds[down][None, :] - same)
+        like &= (root[few][:, None] != root[down][None, :]) & (same > 0)
+        i, j = np.nonzero(like)
+        if len(i):
+            _, one = np.unique(np.stack([root[few[i]], root[down[j]]]), axis=1, return_index=True)
+            for p, q in zip(few[i[one]].tolist(), down[j[one]].tolist()):
+                e, f = end(int(root[p])), end(int(root[q]))
+                if e != f:
+                    joined[max(e, f)] = min(e, f)
+                    out.append((p, q))
+    return out
+
+
+def links(met: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
+    """(a, b) of cells: components with similar texts, enough to join all that have any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by cell."""
+        d = zstandard.ZstdDecompressor()
+        now, group = None, []
+
+        def flush():
+            if len({g[1] for g in group}) > 1:
+                texts = [d.decompress(g[2]) for g in group]
+                off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+                y, root = (np.array([g[k] for g in group]) for k in (0, 1))
+                got = links_of(np.frombuffer(b"".join(texts), np.uint8), off, y.astype(bool), root, idf, least)
+                if got:
+                    p, q = (root[list(x)] for x in zip(*got))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+
+        for batch in batches:
+            key = zip(*(batch.column(c).to_pylist() for c in ("h", "p", "q")))
+            for k, *g in zip(key, *(batch.column(c).to_pylist() for c in ("y", "r", "z"))):
+                if k != now:
+                    yield from flush()
+                    now, group = k, []
+                group.append(g)
+        yield from flush()
+
+    met = met.select("h", "p", "q", "y", "r", "z").repartition("h", "p", "q").sortWithinPartitions("h", "p", "q")
+    return arrow_map(met, run, "a long, b long")
 
 
 def similar(x: tuple, y: tuple, least: float) -> bool:
@@ -232,32 +357,26 @@ def classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     idf, _ = document_frequency(texts)
     near = written(buckets(signatures(texts, idf)))
     pairs = written(candidates(near))
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct()
-    need = packed(texts.select("t", "tid"), ["tid"]).join(nodes, "tid", "left_semi").groupBy("tid").agg(F.first("z").alias("z"))
-    need = written(need)
-    one = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    good = written(verified(one, need, idf, least))
-    roots = written(components(good))
-    rest = pairs.join(one, ["a", "b"], "left_anti")
-    for end in ("a", "b"):
-        rest = rest.join(roots.toDF("node", f"r{end}"), F.col(end) == F.col("node"), "left").drop("node")
-    rest = rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    more = written(verified(written(rest), need, idf, least))
-    good = good.unionByName(more)
-    roots = written(components(good))
-    last = written(apart(near, roots).join(pairs, ["a", "b"], "left_anti"))
-    last = written(verified(last, need, idf, least))
-    if not last.isEmpty():
-        roots = components(good.unionByName(last))
-    return roots.select(F.col("node").alias("tid"), "root")
+    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct())
+    need = packed(texts.select("t", "tid", F.octet_length("t").alias("size")), ["tid", "size"], "tid").join(nodes, "tid", "left_semi")
+    need = written(need.groupBy("tid").agg(F.first("z").alias("z"), F.first("size").alias("size")))
+    bodies = need.select("tid", "z")
+    roots = written(components(verified(pairs, bodies, idf, least)))
+    over = written(components(links(cells(near, roots, need), idf, least))).toDF("part", "over")  # components of components
+    joined = roots.join(over, F.col("root") == F.col("part"), "left").select(F.col("node").alias("tid"), F.coalesce("over", "root").alias("root"))
+    alone = over.join(roots, F.col("part") == F.col("node"), "left_anti").select(F.col("part").alias("tid"), F.col("over").alias("root"))
+    return joined.unionByName(alone)
 
 
 def labelled(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """place, id, tid and root (of the class) of every row of docs; place is the row's monotonic id."""
+    """id, tid and root (of the class) of every row of docs."""
     roots = written(classes(docs, least)).toDF("tid0", "root")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    t = docs.select(F.monotonically_increasing_id().alias("place"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("tid"))
-    return written(t.join(roots, F.col("tid") == F.col("tid0"), "left").select("place", "id", "tid", F.coalesce("root", "tid").alias("root")))
+    t = docs.select(F.col("doc_id").alias("id"), text_hash().alias("tid"))
+    return written(t.join(roots, F.col("tid") == F.col("tid0"), "left").select("id", "tid", F.coalesce("root", "tid").alias("root")))
+
+
+def text_hash():
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def dedup(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -265,15 +384,22 @@ def dedup(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     t = labelled(docs, least)
     by_text = t.groupBy("root", "tid").agg(F.min("id").alias("i"), F.count(F.lit(1)).alias("n"))
     of = by_text.groupBy(F.col("root").alias("root0")).agg(F.min("i").alias("class_id"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("n_texts"))
+    of = written(of)  # a plain side, so that the join can split a hot class
     return t.join(of, F.col("root") == F.col("root0")).select(F.col("id").alias("doc_id"), "class_id", "class_size", "n_texts")
 
 
 def keep_one(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """One row of each class, a row of the least doc_id (the first of equal ones): same columns."""
+    """One row of each class, of the least doc_id (not null, if there is one), then of the least text hash: same columns.
+
+    Of rows with the same doc_id and text, the one whose JSON has the least hash stays.  Rows are found again by doc_id
+    and text hash, so that a second scan of docs need not give them in the same order.
+    """
     t = labelled(docs, least)
-    lead = t.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "place")).alias("x")).select(F.col("x.place").alias("__lead"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.monotonically_increasing_id().alias("__place"))
-    rows = rows.join(lead.hint("shuffle_hash"), F.col("__place") == F.col("__lead"), "left_semi")
+    lead = t.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tid")).alias("x"))
+    lead = written(lead.select(F.col("x.id").alias("__id0"), F.col("x.tid").alias("__tid0")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("doc_id").alias("__id"), text_hash().alias("__tid"))
+    rows = rows.join(lead.hint("shuffle_hash"), F.col("__id").eqNullSafe(F.col("__id0")) & (F.col("__tid") == F.col("__tid0")), "left_semi")
+    rows = rows.groupBy("__id", "__tid").agg(F.min_by("__row", F.xxhash64(F.to_json("__row"))).alias("__row"))
     return rows.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
 
 
