@@ -55,3 +55,26 @@ def test_hard_rows(spark, hard, empty):
     assert all(r["base_failed"] == (r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]) for r in rows)
     assert all(not r["kept"] for r in rows if r["base_failed"])
     assert Q.judge(empty, labels).collect() == [] and Q.keep_good(hard, labels).columns == hard.columns
+
+
+def test_five_independent_rules_together_hold_the_risk(spark):
+    """Good texts of which each rule would reject 0.8 %: one rule alone is within the risk, all five are not."""
+    import random
+
+    r, rates = random.Random(3), []
+    for trial in range(6):
+        rows = []
+        for i in range(20_000):
+            off = [r.random() < 0.008 for _ in range(5)]
+            chars = 500
+            rows.append((i, "en", 100, 1900 if off[3] else chars, int(chars * 0.9) * 4 if off[0] else 0, int(0.95 * (1900 if off[3] else chars)) if off[4] else 0, 20, 19 if off[1] else 0, 27 if off[2] else 0))
+        feats = spark.createDataFrame(rows, "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_upper long, n_lines long, n_dup_lines long, n_repeat_words long")
+        cuts = Q.cutoffs(feats, feats.select("doc_id"))
+        out = Q.verdicts(feats, cuts)
+        rates.append(out.where("not kept").count() / len(rows))
+    assert max(rates) <= 0.01, rates
+
+
+def test_labels_of_both_kinds_are_not_good(spark):
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (2, 1), (3, None), (3, 1), (None, 1), (4, 0)], "doc_id long, quality int")
+    assert sorted(x["doc_id"] for x in Q.good_ids(labels).collect()) == [2, 3]

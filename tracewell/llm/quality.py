@@ -1,15 +1,25 @@
 """7. Quality rules with risk-controlled thresholds.
 
-Every rule is a number of a text (share of symbols, of repeated lines, ...) and rejects texts above a cutoff.
-Cutoffs come from labelled holdout rows: for each stratum and rule, the lowest cutoff of a fixed grid for which an exact
-binomial test shows that at most `risk` of the good texts lie above it.  The tests of all strata, rules and grid
-values share the error probability `delta` (Bonferroni), so all guarantees hold together with probability 1 - delta.
+Every rule is a number of a text (share of symbols, of repeated lines, ...) and rejects texts above a cutoff.  What is
+controlled is that a text is rejected by any of the rules: in each stratum at most `risk` of the good texts.
 
-Only DataFrame functions run on the executors.  The driver gets one row of counts per stratum, rule and grid value.
+1. On one half of the good labelled rows, dealt by a hash of doc_id, each rule of a stratum takes the lowest cutoff of its grid
+   that rejects at most a share of risk / rules.  This only chooses; it promises nothing.
+2. On the other half the chosen rules are tested together, by an exact binomial test of the texts that any of them rejects;
+   if that fails, all cutoffs are loosened by one step of their grids, and so on, `STEPS` times.  The tests of all strata and steps
+   share the error probability `delta` (Bonferroni), so all guarantees hold together with probability 1 - delta.
+
+Good rows are labelled quality 1, and not 0 as well.  Texts that fail the base rules are rejected anyway and are left out of
+the rates on both sides: the guarantee is about good texts that pass them.
+
+Only DataFrame functions run on the executors.  The driver gets a row of counts for each stratum that has enough good rows
+to show the risk at all; their number is checked (`MOST_STRATA`), since cutoffs are part of the plan.
 
 Defined cases: a null text has no words; null labels and labels of unknown ids are not used; a stratum with too few
-good labelled rows gets no cutoff (its rules never reject); repeated rows each get their own verdict, and count once
-each as labelled rows; an empty table gives an empty result.  Columns besides doc_id, text and the stratum are ignored.
+good labelled rows gets no cutoff (its rules never reject); a null stratum is the empty one; repeated rows each get their own
+verdict, and count once each as labelled rows; a text's number that ties with a cutoff is not above it; a very long text is
+taken whole, with memory in proportion to its length; an empty table gives an empty result.  Columns besides doc_id, text
+and the stratum are ignored by `judge` and kept by `keep_good`.
 """
 
 from __future__ import annotations
@@ -31,7 +41,10 @@ GRIDS: dict[str, tuple[float, ...]] = {
     "mean_word": (7.0, 9.0, 11.0, 14.0, 20.0),
     "shout_share": (0.1, 0.2, 0.3, 0.5, 0.8),
 }
-RISK, DELTA = 0.01, 0.05
+RISK, DELTA, STEPS = 0.01, 0.05, 5
+MOST_STRATA = 10_000
+#: Ids up to this number are broadcast (8 bytes each); more are joined by a shuffle.
+FEW_IDS = 2_000_000
 
 
 def let(value: Column, body) -> Column:
@@ -120,23 +133,46 @@ def controlled(k: int, n: int, risk: float, level: float) -> bool:
     return n > 0 and k <= risk * n and binomial_tail(k, n, risk) <= level
 
 
-def cutoffs(feats: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[tuple[str, str], float]:
-    """(stratum, rule) -> the lowest cutoff that holds the risk.  Good rows are those labelled quality 1."""
-    good = with_columns_of(labels, ("doc_id", "long"), ("quality", "int")).where("quality = 1 and doc_id is not null")
-    held = feats.join(good.select("doc_id").distinct(), "doc_id", "left_semi").where(~base_failed())
+def good_ids(labels: DataFrame) -> DataFrame:
+    """doc_id of the rows labelled quality 1 and not 0 as well."""
+    known = with_columns_of(labels, ("doc_id", "long"), ("quality", "int")).where("doc_id is not null and quality is not null")
+    return known.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("p")).where("q = 1 and p = 1").select("doc_id")
+
+
+def cutoffs(feats: DataFrame, good: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[tuple[str, str], float]:
+    """(stratum, rule) -> cutoff.  good holds the ids of good rows."""
+    held = feats.join(good, "doc_id", "left_semi").where(~base_failed()).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)))
     values = rule_values()
     above = [F.sum((values[r] > c).cast("long")).alias(f"{r}@{i}") for r, grid in GRIDS.items() for i, c in enumerate(grid)]
-    counts = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *above).collect()  # a row for each stratum
-    level = delta / max(1, len(counts) * sum(len(g) for g in GRIDS.values()))
-    out = {}
-    for row in counts:
+    least = math.log(delta / STEPS) / math.log1p(-risk)  # fewer rows show nothing, even with no rejection and one stratum
+    chosen = held.where("half = 0").groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *above).where(F.col("n") >= least / 2).limit(MOST_STRATA + 1).collect()
+    if len(chosen) > MOST_STRATA:
+        raise ValueError(f"more than {MOST_STRATA} strata have enough labelled rows; group them first")
+    first = {}
+    for row in chosen:
         for rule, grid in GRIDS.items():
-            fit = [c for i, c in enumerate(grid) if controlled(row[f"{rule}@{i}"], row["n"], risk, level)]
+            fit = [i for i in range(len(grid)) if row[f"{rule}@{i}"] <= row["n"] * risk / len(GRIDS)]
             if fit:
-                out[row["stratum"], rule] = min(fit)
+                first[row["stratum"], rule] = fit[0]
+    if not first:
+        return {}
+    steps = [loosened(first, k) for k in range(STEPS)]
+    any_of = [F.sum(rejecting(cuts).isNotNull().cast("long")).alias(f"k{k}") for k, cuts in enumerate(steps)]
+    tested = held.where("half = 1").where(F.col("stratum").isin(sorted({s for s, _ in first}))).groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *any_of).collect()  # as many rows
+    level = delta / max(1, len(tested) * STEPS)
+    out = {}
+    for row in tested:
+        ok = [k for k in range(STEPS) if controlled(row[f"k{k}"], row["n"], risk, level)]
+        if ok:
+            out |= {key: c for key, c in steps[ok[0]].items() if key[0] == row["stratum"]}
     return out
 
 
+def loosened(first: dict[tuple[str, str], int], k: int) -> dict[tuple[str, str], float]:
+    """Cutoffs k steps of their grids above the chosen ones; a rule without such a step no longer rejects."""
+    return {key: GRIDS[key[1]][i + k] for key, i in first.items() if i + k < len(GRIDS[key[1]])}
+
+
 def rejecting(cuts: dict[tuple[str, str], float], of=F.col, stratum: Column | None = None) -> Column:
     """The first rule that rejects, or null."""
     values, rejects = rule_values(of), F.lit(None).cast("string")
@@ -157,16 +193,18 @@ def verdicts(feats: DataFrame, cuts: dict[tuple[str, str], float]) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """A row for each row of docs: its counts, base_failed, the rule that rejects it (or null) and kept."""
     feats = written(features(docs, stratum))
-    return verdicts(feats, cutoffs(feats, labels, risk, delta))
+    return verdicts(feats, cutoffs(feats, good_ids(labels), risk, delta))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """The rows of docs that are kept, unchanged.  Counts are made twice, which is cheaper than moving the texts."""
-    cuts = cutoffs(written(features(docs, stratum)), labels, risk, delta)
+    """The rows of docs that are kept, unchanged.  Counts are made of good labelled rows for the cutoffs, and of all to filter."""
+    good = written(good_ids(labels))
+    some = F.broadcast(good) if good.count() <= FEW_IDS else good
+    cuts = cutoffs(written(features(docs.join(some, "doc_id", "left_semi"), stratum)), good, risk, delta)
     of = F.col(stratum).cast("string") if stratum in docs.columns else F.lit(None).cast("string")
     # one expression, so that the filter computes the counts of a text once
-    good = let(counts(F.coalesce(F.col("text").cast("string"), F.lit(""))), lambda c: ~base_failed(c.getField) & rejecting(cuts, c.getField, F.coalesce(of, F.lit(""))).isNull())
-    return docs.where(good)
+    kept = let(counts(F.coalesce(F.col("text").cast("string"), F.lit(""))), lambda c: ~base_failed(c.getField) & rejecting(cuts, c.getField, F.coalesce(of, F.lit(""))).isNull())
+    return docs.where(kept)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
