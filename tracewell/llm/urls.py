@@ -8,9 +8,13 @@ wins over any block; a component without rules is allowed.
 Only DataFrame functions are used.  Rules are part of the plan, and their number is checked (`MOST_RULES`); links and
 components stay distributed, and only pages with links or named by links enter the component search.
 
+Targets of links are resolved against the page's own url: absolute, //host/path, /path, ?query and relative ones, with dot
+segments removed and &amp; read as &; other schemes (mailto:, data:) are no links, and a fragment alone is the page itself.
+
 Defined cases: a null url or one without "://" has empty host and path, fits no rule, has no aliases and is allowed; a
-null html has no links; repeated pages each get their row; an empty table gives an empty result.  Other columns are
-ignored.
+null html has no links; repeated pages each get their row, and the links of all of them count; a very long html is searched
+whole; of rules that tie in length the later one in the list holds; an empty table gives an empty result.  Other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -60,16 +64,41 @@ def address(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(scheme, F.lit("://"), host_of(url), rest))
 
 
+def resolved(url: Column, target: Column) -> Column:
+    """The target of a link as an absolute url; null if it is none."""
+    t = F.trim(F.replace(F.replace(target, F.lit("&amp;"), F.lit("&")), F.lit("&#38;"), F.lit("&")))
+    scheme, host = F.regexp_extract(url, r"(?s)^(.*?)://", 1), F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
+    path, top = path_of(url), F.concat(scheme, F.lit("://"), host)
+    folder = F.when(path.contains("/"), F.regexp_extract(path, r"(?s)^(.*/)", 1)).otherwise("/")
+    rest = lambda p: F.regexp_extract(p, r"(?s)^[^?#]*(.*)$", 1)
+    made = F.when(t.startswith("/"), t).otherwise(F.concat(folder, t))
+    return (
+        F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), t).when(t.startswith("//"), F.concat(scheme, F.lit(":"), t)).when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (t == "") | t.startswith("#"), F.lit(None).cast("string"))
+        .when(t.startswith("?"), F.concat(top, path, t)).otherwise(F.concat(top, without_dots(F.regexp_extract(made, r"(?s)^([^?#]*)", 1)), rest(made)))
+    )
+
+
+def without_dots(path: Column) -> Column:
+    """A path that begins with / without its segments . and .. (which takes the one before it away)."""
+    parts = F.split(path, "/", -1)
+    last = F.element_at(parts, -1)
+    # an empty end stands for a folder, as . and .. at the end do
+    parts = F.when(last.isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    step = lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x)))
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array().cast("array<string>"), step)
+    return F.when(path.rlike(r"(?:^|/)\.\.?(?:/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """(a, b): a page's address and the address that its html names as canonical or redirects to."""
     tags = F.regexp_extract_all("html", F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), 1)
     tag = F.col("tag")
-    href = lambda name: F.regexp_extract(tag, rf"""(?is)\b{name}\s*=\s*["']?([^"'>\s]+)""", 1)
-    goes = F.when(tag.rlike(r"""(?is)\brel\s*=\s*["']?canonical\b"""), href("href")).when(
-        tag.rlike(r"""(?is)\bhttp-equiv\s*=\s*["']?refresh\b"""), F.regexp_extract(tag, r"""(?is)\burl\s*=\s*["']?([^"'>\s]+)""", 1)
-    )
-    links = pages.where(F.col("html").rlike(r"(?i)canonical|http-equiv")).select(address(F.col("url")).alias("a"), F.explode(tags).alias("tag"))
-    return links.select("a", address(goes).alias("b")).where("a is not null and b is not null and a <> b")
+    # in quotes a value goes up to the same quote
+    value = lambda name: F.coalesce(*[F.nullif(F.regexp_extract(tag, rf"""(?is)\b{name}\s*=\s*{v}""", 1), F.lit("")) for v in ('"([^"]*)"', "'([^']*)'", r"""([^"'>\s]+)""")])
+    to = F.regexp_replace(F.regexp_extract(value("content"), r"(?is)\burl\s*=\s*(.+)$", 1), "^[\"']|[\"']$", "")
+    goes = F.when(tag.rlike(r"""(?is)\brel\s*=\s*["']?canonical\b"""), value("href")).when(tag.rlike(r"""(?is)\bhttp-equiv\s*=\s*["']?refresh\b"""), F.nullif(to, F.lit("")))
+    links = pages.where(F.col("url").contains("://") & F.col("html").rlike(r"(?i)canonical|http-equiv")).select("url", F.explode(tags).alias("tag"))
+    return links.select(address(F.col("url")).alias("a"), address(resolved(F.col("url"), goes)).alias("b")).where("a is not null and b is not null and a <> b")
 
 
 def filter_urls(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES) -> DataFrame:
@@ -90,9 +119,11 @@ def filter_urls(pages: DataFrame, redirects: DataFrame | None = None, rules=RULE
     nodes = written(components(links))
     own = nodes.withColumn("r", rule_of(host_of(F.col("node")), path_of(F.col("node")), rules))
     said = own.groupBy("root").agg(F.max(F.col("r.action") == "allow").alias("allow"), F.max(F.col("r.action") == "block").alias("block"))
-    said = said.select(F.col("root").alias("root0"), F.when(F.col("allow"), "allow").when(F.col("block"), "block").otherwise("allow").alias("shared"))
+    said = written(said.select(F.col("root").alias("root0"), F.when(F.col("allow"), "allow").when(F.col("block"), "block").otherwise("allow").alias("shared")))
     by = nodes.join(said, F.col("root") == F.col("root0")).select(F.col("node"), F.col("root").alias("alias"), "shared")
-    out = judged.join(by, address(F.col("url")) == F.col("node"), "left")
+    # urls without an address are dealt by their page, not all to one task; no node begins with a space
+    at = F.coalesce(address(F.col("url")), F.concat(F.lit(" "), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
+    out = judged.join(by, at == F.col("node"), "left")
     return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.action", "shared", F.lit("allow")).alias("verdict"), "alias")
 
 
