@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns rows with the columns of docs; the last adds shard and slot.  `run`
 writes what a stage returns and reads it again for the next.
+
+Defined cases, in all stages: a null text is an empty one, which the quality rules reject; rows of null id are rows like others;
+repeated rows are copies, of which one stays; ties fall to the least doc_id, then to hashes; very long texts are taken whole; an
+empty table gives an empty result; further columns are kept, but those named shard, slot, size or text_crc32 are replaced in the
+last stage.
 """
 
 from __future__ import annotations
