@@ -7,6 +7,7 @@ import re
 import uuid
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,7 +159,9 @@ def stored_index(docs: DataFrame, key: str, at: str | None = None, text: str = "
     print_of = F.concat_ws("|", F.col("_metadata.file_path"), F.col("_metadata.file_size").cast("string"), F.col("_metadata.file_modification_time").cast("string"))
     now = {r[0] for r in docs.select(print_of.alias("f")).distinct().collect()}  # a name for each data file
     name = at or f"{shared_dir(spark)}/trigrams-{hashlib.sha256('|'.join([key, text, *docs.inputFiles()]).encode()).hexdigest()[:16]}"
-    segments = _SEGMENTS.setdefault(name, [])
+    if name not in _SEGMENTS:
+        _SEGMENTS[name] = _manifest(spark, name)
+    segments = _SEGMENTS[name]
     live = [(path, files) for path, files in segments if files & now]
     new = now - {f for _, files in live for f in files}
     if new and len(live) >= MOST_SEGMENTS:
@@ -170,7 +173,10 @@ def stored_index(docs: DataFrame, key: str, at: str | None = None, text: str = "
         rows = rows.select(F.col(key).cast("string").alias("file"), "_f", F.explode(trigrams(F.col(text))).alias("gram"))
         rows.repartitionByRange("gram").sortWithinPartitions("gram", "file").write.parquet(path)
         live.append((path, new))
-    _SEGMENTS[name] = live
+    if live != segments:
+        _SEGMENTS[name] = live
+        rows = [(path, f) for path, files in live for f in sorted(files)]
+        spark.createDataFrame(rows, "segment string, file string").coalesce(1).write.mode("overwrite").parquet(f"{name}/manifest")
     out = None
     for path, files in live:
         seg = spark.read.schema("file string, _f string, gram string").parquet(path)
@@ -182,6 +188,18 @@ def stored_index(docs: DataFrame, key: str, at: str | None = None, text: str = "
 _SEGMENTS: dict[str, list[tuple[str, set[str]]]] = {}
 
 
+def _manifest(spark, name: str) -> list[tuple[str, set[str]]]:
+    """The segments that an earlier process has written, with their data files."""
+    try:
+        rows = spark.read.schema("segment string, file string").parquet(f"{name}/manifest").collect()  # a row for each data file
+    except AnalysisException:
+        return []
+    out: dict[str, set[str]] = {}
+    for r in rows:
+        out.setdefault(r["segment"], set()).add(r["file"])
+    return list(out.items())
+
+
 def required(pattern: str) -> list | None:
     """What a match of the regex must hold, as nested ["and"|"or", ...] of literals of three characters or more.
 
