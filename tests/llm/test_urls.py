@@ -61,3 +61,47 @@ def test_components(spark):
 
 def test_empty(spark):
     assert U.filter_urls(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_links_of_all_forms_against_brute_force_components(spark):
+    """Absolute, protocol-relative, rooted, relative, escaped, chained and cyclic links of 500 pages."""
+    import random
+    from urllib.parse import urljoin, urlsplit
+
+    r = random.Random(12)
+    hosts = ["a.org", "B.org", "e.org", "f.org", "c.net", "www.example.com", "m.net"]
+    url = lambda: f"http://{r.choice(hosts)}/{r.choice(('en', 'es', 'fr', 'x'))}/{r.randint(1, 40)}/p{r.randint(1, 3)}"
+    pages = []
+    for i in range(500):
+        here, kind = url(), r.randrange(9)
+        there = url()
+        path = there.split("/", 3)[3]
+        to = (there, "//" + there.split("//")[1], "/" + path, f"p{r.randint(1, 3)}", f"../{r.randint(1, 30)}/p1", "?a=1&amp;b=2", "./", "#top", "mailto:x@y.org")[kind]
+        q = r.choice("\"'")
+        html = r.choice((f"<link rel={q}canonical{q} href={q}{to}{q}>", f"<meta http-equiv=refresh content={q}0; url={to}{q}>", f"<LINK href={q}{to}{q} REL=canonical />"))
+        pages.append((i, here, html if r.random() < 0.5 else None, to))
+    norm = lambda u: urlsplit(u)._replace(netloc=urlsplit(u).netloc.lower(), fragment="").geturl()
+    root: dict = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for _, here, html, to in pages:
+        if html and not to.startswith("mailto:") and not to.startswith("#"):
+            a, b = find(norm(here)), find(norm(urljoin(here, to.replace("&amp;", "&"))))
+            root[max(a, b)] = min(a, b)
+    said: dict = {}
+    for n in root:
+        said.setdefault(find(n), set()).add(brute(n)[3])
+    got = {x["page_id"]: x for x in U.filter_urls(spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string").repartition(3)).collect()}
+    differs = 0
+    for i, here, _, _ in pages:
+        own, n = brute(here)[3], norm(here)
+        votes = said.get(find(n), set()) if n in root else set()
+        want = own or ("allow" if "allow" in votes else "block" if "block" in votes else "allow")
+        assert (got[i]["verdict"], got[i]["alias"]) == (want, find(n) if n in root and len([x for x in root if find(x) == find(n)]) > 1 else None), (pages[i], want)
+        differs += own is None and want == "block"
+    assert differs >= 5
