@@ -1,4 +1,5 @@
 import json
+import os
 
 from tracewell import queries
 from tracewell.streaming import state
@@ -54,3 +55,35 @@ def test_followup_stream_equals_closed_windows_of_the_batch(spark, tmp_path):
     stream = state.ledger(spark, str(tmp_path), rows.schema, per_trigger=1)
     got = drained(windows.followup_stream(stream), "closed", spark)
     assert got and got == sorted(tuple(r) for r in want.collect())
+
+
+def test_hypotheses_and_starvation_streams_equal_their_batches(spark, tmp_path):
+    from tracewell import queries_evidence
+    from tracewell.operators import sessions
+    from tracewell.streaming import windows
+
+    rows = queries_evidence._steps(spark, DIR).where("session % 5 = 0")
+    data = rows.orderBy("idx").collect()
+    for i in range(0, len(data), 60):
+        (tmp_path / f"{i:05}.json").write_text("\n".join(json.dumps(r.asDict()) for r in data[i : i + 60]))
+        os.utime(tmp_path / f"{i:05}.json", (1000 + i, 1000 + i))
+    stream = lambda: state.ledger(spark, str(tmp_path), rows.schema, per_trigger=1)
+    want = sessions.hypotheses(rows).where("why <> 'open'")
+    got = drained(windows.hypothesis_stream(stream()), "ended", spark)
+    assert got and got == sorted(tuple(r) for r in want.collect())
+    got = drained(windows.starvation_stream(stream()), "verdicts", spark)
+    assert got and got == sorted(tuple(r) for r in sessions.starvation(rows).collect())
+
+
+def test_retention_is_bounded_and_counts_are_exact(spark, tmp_path):
+    from tracewell.streaming import windows
+
+    lines = [f"line {i} " + "x" * (i % 7) for i in range(100)]
+    for k in range(4):
+        (tmp_path / f"{k}.json").write_text("\n".join(json.dumps({"name": "a", "seq": i, "text": lines[i]}) for i in range(25 * k, 25 * k + 25)))
+        os.utime(tmp_path / f"{k}.json", (1000 + k, 1000 + k))  # files come by their time
+    stream = state.ledger(spark, str(tmp_path), "name string, seq long, text string", per_trigger=1)
+    name, n, size, head, tail = max(drained(windows.retained(stream, 200), "retained", spark, "update"), key=lambda r: r[1])
+    assert (name, n, size) == ("a", 100, sum(len(x) + 1 for x in lines))
+    assert lines[: len(head.split("\n"))] == head.split("\n") and lines[-len(tail.split("\n")) :] == tail.split("\n")
+    assert 60 < len(head) + 1 <= 100 and 60 < len(tail) + 1 <= 100

@@ -204,7 +204,8 @@ def jsonl_profile(spark, d):
     return profiles.json_keys(S.table(spark, d, "events"), "props")
 
 
-@query("json_shape")
+@query("json_shape", """with p as (select regexp_extract_all(props, '"([^"]+)": *[^,}]+', 1) as ks, regexp_extract_all(props, '"[^"]+": *([^,}]+)', 1) as vs from events), e as (select ks[i] as k, vs[i] as v from p, unnest(range(1, len(ks) + 1)) as r(i)),
+ t as (select k, case when bool_and(regexp_matches(v, '^-?[0-9]+$')) then 'BIGINT' else 'STRING' end as t from e group by k) select 'OBJECT<' || string_agg(k || ': ' || t, ', ' order by k) || '>' as shape from t""")
 def json_shape(spark, d):
     return profiles.json_shape(S.table(spark, d, "events"), "props")
 
@@ -890,7 +891,12 @@ def events_session(spark, d):
     return e.groupBy(F.session_window("ts", "2 hours"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n")
 
 
-@query("circuit_moves")
+@query("circuit_moves", """with recursive e as (select cast(user_id as varchar) as signature, event_id as seq, case event_type when 'error' then 'starvation' else 'landing' end as event, cast(day(ts) as varchar) as generation, row_number() over (partition by user_id order by event_id) as n from events where event_type in ('error', 'purchase')),
+ c(signature, n, seq, state, episode, positives, moved, from_state) as (select distinct signature, cast(0 as bigint), cast(0 as bigint), 'normal', '', 0, false, cast(null as varchar) from e union all
+  select signature, n, seq, coalesce(nxt, state), generation, case when nxt is null then pos else 0 end, m or nxt is not null, case when nxt is not null then state end from (
+   select *, case when m then null when event = 'starvation' then case state when 'normal' then 'dense' when 'dense' then 'bypass' end when state = 'bypass' and pos >= 2 then 'dense' when state = 'dense' and pos >= 3 then 'normal' end as nxt from (
+    select e.signature, e.n, e.seq, c.state, e.generation, e.event, e.generation = c.episode and c.moved as m, c.positives + (e.event = 'landing')::int as pos from c join e on e.signature = c.signature and e.n = c.n + 1)))
+ select signature, seq, from_state, state as to_state from c where from_state is not null""")
 def circuit_moves(spark, d):
     from .streaming import state
 

@@ -57,6 +57,86 @@ def followup_stream(stream: DataFrame) -> DataFrame:
     return stream.groupBy("session").applyInPandasWithState(run, CLOSED, "windows string", "append", GroupStateTimeout.NoTimeout)
 
 
+MOST_COMMANDS = 3
+ENDED = "session long, idx long, closed_at long, why string"
+
+
+def hypothesis_stream(stream: DataFrame, most: int = MOST_COMMANDS) -> DataFrame:
+    """The streaming twin of `operators.sessions.hypotheses` for rows (session, idx, kind), in the order of idx: hypotheses that end.
+
+    State holds a session's open hypotheses, each for `most` commands at most.
+    """
+
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, out = json.loads(state.get[0]) if state.exists else [], []
+        for idx, kind in pd.concat(list(batches)).sort_values("idx")[["idx", "kind"]].itertuples(index=False, name=None):
+            if kind == "hypothesis":
+                held.append([int(idx), 0])
+                continue
+            for h in held:
+                h[1] += kind == "command"
+            gone = held if kind == "edit" else [h for h in held if h[1] >= most]
+            out += [(key[0], h[0], int(idx), "generation" if kind == "edit" else "expired") for h in gone]
+            held = [] if kind == "edit" else [h for h in held if h[1] < most]
+        state.update((json.dumps(held),))
+        yield pd.DataFrame(out, columns=["session", "idx", "closed_at", "why"])
+
+    return stream.groupBy("session").applyInPandasWithState(run, ENDED, "held string", "append", GroupStateTimeout.NoTimeout)
+
+
+VERDICTS = "session long, idx long, verdict string"
+
+
+def starvation_stream(stream: DataFrame) -> DataFrame:
+    """The streaming twin of `operators.sessions.starvation` for rows (session, idx, kind, command), in the order of idx.
+
+    State holds a session's last command and whether an edit has come since.
+    """
+
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, edited = tuple(state.get) if state.exists else (None, False)
+        out = []
+        for idx, kind, command in pd.concat(list(batches)).sort_values("idx")[["idx", "kind", "command"]].itertuples(index=False, name=None):
+            if kind == "edit":
+                edited = True
+                continue
+            if last is not None:
+                out.append((key[0], int(idx), "validation" if edited else "equivalent" if command == last else "narrowed" if command.startswith(last + " ") else "other"))
+            last, edited = command, False
+        state.update((last, edited))
+        yield pd.DataFrame(out, columns=["session", "idx", "verdict"])
+
+    return stream.groupBy("session").applyInPandasWithState(run, VERDICTS, "command string, edited boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+KEPT = "name string, lines long, bytes long, head string, tail string"
+
+
+def retained(stream: DataFrame, room: int) -> DataFrame:
+    """Bounded retention of endless streams (name, seq, text): exact counts, the first lines and the last, half of `room` bytes each.
+
+    A row for each stream that has moved on; state holds no more than `room` bytes of text and the counts.
+    """
+
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        s = json.loads(state.get[0]) if state.exists else {"lines": 0, "bytes": 0, "head": [], "used": 0, "open": True, "tail": []}
+        for text in pd.concat(list(batches)).sort_values("seq")["text"]:
+            n = len(text.encode()) + 1
+            s["lines"], s["bytes"] = s["lines"] + 1, s["bytes"] + n
+            if s["open"] and s["used"] + n <= room // 2:
+                s["head"].append(text)
+                s["used"] += n
+            else:
+                s["open"] = False
+                s["tail"].append(text)
+                while s["tail"] and sum(len(t.encode()) + 1 for t in s["tail"]) > room // 2:
+                    s["tail"].pop(0)
+        state.update((json.dumps(s),))
+        yield pd.DataFrame([(key[0], s["lines"], s["bytes"], "\n".join(s["head"]), "\n".join(s["tail"]))], columns=["name", "lines", "bytes", "head", "tail"])
+
+    return stream.groupBy("name").applyInPandasWithState(run, KEPT, "kept string", "update", GroupStateTimeout.NoTimeout)
+
+
 def spent(rows: DataFrame, key: str, amount: str) -> DataFrame:
     """Running total of each key; update or complete mode."""
     return rows.groupBy(key).agg(F.sum(amount).alias("spent"), F.count(F.lit(1)).alias("n"))
