@@ -1,4 +1,8 @@
+import difflib
 import random
+import types
+
+import zstandard
 
 from tracewell.llm import licenses as L
 
@@ -101,3 +105,56 @@ def test_hard_licenses(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_blocks long")
     got = sorted(((r["doc_id"] or 0, r["n_blocks"], tuple(r["licenses"])) for r in L.scan(docs).collect()))
     assert got == [(0, 1, ("MIT",)), (1, 0, ()), (2, 0, ()), (3, 1, ("MIT",)), (3, 1, ("MIT",)), (4, 1, ("MIT",)), (5, 1, ("MIT",))]
+
+
+def found_words(low):
+    return [(m[0], m.start(), m.end()) for m in L.WORD.finditer(low)]
+
+
+def test_every_window_is_compressed_with_every_template_before_words_are_compared(monkeypatch):
+    """What is compressed with which dictionary, and where the first comparison of words falls."""
+    steps = []
+
+    def compressor(*a, real=zstandard.ZstdCompressor, dict_data=None, **kw):
+        inner = real(*a, **kw) if dict_data is None else real(*a, dict_data=dict_data, **kw)
+        given = b"" if dict_data is None else dict_data.as_bytes().rstrip(b"\n")
+        return types.SimpleNamespace(compress=lambda x: steps.append((given, x)) or inner.compress(x))
+
+    monkeypatch.setattr(L, "zstandard", types.SimpleNamespace(**{k: getattr(zstandard, k) for k in dir(zstandard)} | {"ZstdCompressor": compressor}))
+    monkeypatch.setattr(L, "difflib", types.SimpleNamespace(SequenceMatcher=lambda *a, **kw: steps.append(("words",)) or difflib.SequenceMatcher(*a, **kw)))
+    templates = {t.lower().encode() for ts in L.TEMPLATES.values() for t in ts}
+    for text in ("He lost his driving license in 1990.", "one\nReleased under the MIT License. two"):
+        steps.clear()
+        L.Scanner().scan(text)
+        first = next((i for i, x in enumerate(steps) if x == ("words",)), len(steps))
+        assert {g for g, x in steps[:first] if b"license" in x} == templates | {b""}, text
+
+
+def test_ranking_against_all_windows():
+    """The ranking against a plain loop over windows; whatever the words allow is in it, with any words between and any around."""
+    s, r = L.Scanner(), random.Random(11)
+    prose = lambda n: " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 8))) for _ in range(n))
+    saves = lambda k, x: len(L.squeeze().compress(x)) - len(L.squeeze(s.rows[k][1].lower().encode()).compress(x))
+    for k, (name, t, want) in enumerate(s.rows):
+        for between in (0, 1, len(want)):
+            for n in (0, 5, 20, 200):
+                w = t.lower().split()
+                for i in sorted(r.sample(range(len(w)), min(between, len(w) - 1)), reverse=True):
+                    w.insert(i + 1, prose(1))
+                low = f"{prose(n)} {' '.join(w)} {prose(n)}".strip()
+                if not L.CUE.search(low):
+                    continue  # the word between split the cue
+                found = found_words(low)
+                got = s.ranked(low, found)
+                assert any(x[2] == k for x in got), (name, between, n, low)
+                assert got == sorted(got) and all(-x == saves(j, low[found[a][1] : found[b - 1][2]].encode()) > 0 for _, x, j, a, b in got[:3])
+                if not between:
+                    assert s.rows[got[0][2]][0] == name, (n, t, s.rows[got[0][2]])
+
+
+def test_rank_decides_where_the_wording_does_not():
+    """Two templates miss one word each and share the rest; the one of which the text holds the larger share is taken."""
+    rest = "of the shared terms of this public software license as they are printed in full below"
+    templates = {"A": (f"Zebra {rest}",), "B": (f"Noncommercially {rest}",)}
+    ((_, _, name, _, differing, _),) = L.Scanner(templates).spans(f"noncommercial {rest}")
+    assert (name, differing) == ("B", 1)

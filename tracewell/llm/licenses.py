@@ -1,13 +1,19 @@
 """3. License scans by conditional compression.
 
 Candidate blocks are the stretches of a text around words that license notices use (`CUE`): the line of the cue and up to
-`AROUND` neighbouring lines on each side that hold letters, cut at blank lines.  Each template is compared
-with windows of the block's words around its cues, as wide as the template on both sides and bounded in length.  Where a
-window holds enough of the template's words, it is aligned with it word by word.  The stretch that matches is compressed
-alone and with the template as a raw zstandard dictionary; it must save a share of at least `SAVING`, which does not
-depend on the length of the line.  A template is confirmed if at most a tenth of its words are missing from their order (so
-none of a template of fewer than ten words).  Differences in wording decide only between templates that match the same
-stretch: fewest missing words, then most shared words, then the name; they are returned, word by word.
+`AROUND` neighbouring lines on each side that hold letters, cut at blank lines.  Each template has windows of the block's
+words around its cues, as wide as the template on both sides and bounded in length.  Every window is compressed alone and
+with the template as a raw zstandard dictionary; the bytes saved, as a share of what the template saves of itself, rank the
+templates, and one that saves none is out.  All others are then compared word by word, in the order of their rank.  The
+stretch of the window that matches, compressed alone and with the template again (level 9), must save a share of at least
+`SAVING`, which does not depend on the length of the line, and at most a tenth of the template's words may be missing from
+their order (so none of a template of fewer than ten words).  Differences in wording decide only between templates that
+match the same stretch: fewest missing words, then most shared words, then the share saved, then the rank; they are
+returned, word by word.
+
+For the ranking literals are stored as they are (`squeeze`): the codes for literals of a small window vary by more than a
+short notice saves, so that the words around a notice would decide.  Matches of four bytes count, so that a notice with
+other words between all of its words still saves some.
 
 Templates are a parameter: short notices by SPDX id.  Their number and size are checked (`MOST_BYTES`), since every
 executor holds them.
@@ -92,14 +98,24 @@ def wording(want: list[str], have: list[str]) -> str:
     return " ".join(out)
 
 
+def squeeze(raw: bytes = b"") -> zstandard.ZstdCompressor:
+    """zstandard without codes for literals (level -1), with a raw dictionary if there is one."""
+    params = zstandard.ZstdCompressionParameters.from_level(-1, min_match=4, window_log=24, hash_log=17, write_content_size=False, write_dict_id=False)
+    # no match starts in the last 8 bytes of a dictionary
+    return zstandard.ZstdCompressor(compression_params=params, dict_data=zstandard.ZstdCompressionDict(raw + b"\n" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if raw else None)
+
+
 class Scanner:
     def __init__(self, templates: dict[str, tuple[str, ...]] = TEMPLATES):
         self.rows = [(name, t, words(t)) for name, ts in templates.items() for t in ts]
         self.counts = [Counter(w) for _, _, w in self.rows]
         if sum(len(t) for _, t, _ in self.rows) > MOST_BYTES:
             raise ValueError(f"templates of more than {MOST_BYTES} bytes")
+        texts = [t.lower().encode() for _, t, _ in self.rows]
+        self.alone, self.given = squeeze(), [squeeze(t) for t in texts]
+        self.own = [max(1, len(self.alone.compress(t)) - len(g.compress(t))) for t, g in zip(texts, self.given)]
         self.plain = zstandard.ZstdCompressor(level=9)
-        self.with_dict = [zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t, _ in self.rows]
+        self.with_dict = [zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(t, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for t in texts]
         self.seen: dict[str, list[tuple[str, float, int, str]]] = {}
 
     def blocks(self, t: str) -> Iterator[tuple[int, str]]:
@@ -127,27 +143,41 @@ class Scanner:
             done = b
             yield a, t[a:b]
 
-    def matches(self, block: str) -> Iterator[tuple[int, int, float, str, int, int, str]]:
-        """(missing words, -shared words, -saving, license, first and end word, wording) of each template that a window confirms."""
+    def ranked(self, low: str, found: list[tuple[str, int, int]]) -> list[tuple[float, int, int, int, int]]:
+        """(-share, -saved bytes, template, first and end word) of the windows of which a template saves any, the best first."""
+        ends = [x[2] for x in found]
+        cues = [bisect.bisect_right(ends, m.start()) for m in CUE.finditer(low)]
+        size: dict[tuple[int, int], int] = {}
+        out: list[tuple[float, int, int, int, int]] = []
+        for k, (_, _, want) in enumerate(self.rows):
+            for a, b in windows(cues, len(want) + max(4, len(want) // 4), len(found)):
+                raw = low[found[a][1] : found[b - 1][2]].encode()
+                if (a, b) not in size:
+                    size[a, b] = len(self.alone.compress(raw))
+                saved = size[a, b] - len(self.given[k].compress(raw))
+                if saved > 0:
+                    out.append((-saved / self.own[k], -saved, k, a, b))
+        return sorted(out)
+
+    def matches(self, block: str) -> Iterator[tuple[int, int, float, int, str, int, int, str]]:
+        """(missing words, -shared words, -saving, rank, license, first and end word, wording) of the ranked templates that the wording confirms."""
         low = block.lower()
         found = [(m[0], m.start(), m.end()) for m in WORD.finditer(low)]
-        of, ends = [x[0] for x in found], [x[2] for x in found]
-        cues = [bisect.bisect_right(ends, m.start()) for m in CUE.finditer(low)]
-        for k, (name, _, want) in enumerate(self.rows):
-            most = len(want) // 10
-            for a, b in windows(cues, len(want) + max(4, len(want) // 4), len(of)):
-                have = Counter(of[a:b])
-                if sum(min(n, have[w]) for w, n in self.counts[k].items()) < len(want) - most:
-                    continue
-                same = [m for m in difflib.SequenceMatcher(None, want, of[a:b], autojunk=False).get_matching_blocks() if m.size]
-                shared = sum(m.size for m in same)
-                if not same or len(want) - shared > most:
-                    continue
-                first, end = a + same[0].b, a + same[-1].b + same[-1].size
-                raw = low[found[first][1] : found[end - 1][2]].encode()
-                gain = 1 - len(self.with_dict[k].compress(raw)) / len(self.plain.compress(raw))
-                if gain >= SAVING:
-                    yield len(want) - shared, -shared, -gain, name, first, end, wording(want, of[first:end])
+        of = [x[0] for x in found]
+        for rank, (_, _, k, a, b) in enumerate(self.ranked(low, found)):
+            name, _, want = self.rows[k]
+            most, have = len(want) // 10, Counter(of[a:b])
+            if sum(min(n, have[w]) for w, n in self.counts[k].items()) < len(want) - most:
+                continue
+            same = [m for m in difflib.SequenceMatcher(None, want, of[a:b], autojunk=False).get_matching_blocks() if m.size]
+            shared = sum(m.size for m in same)
+            if not same or len(want) - shared > most:
+                continue
+            first, end = a + same[0].b, a + same[-1].b + same[-1].size
+            raw = low[found[first][1] : found[end - 1][2]].encode()
+            gain = 1 - len(self.with_dict[k].compress(raw)) / len(self.plain.compress(raw))
+            if gain >= SAVING:
+                yield len(want) - shared, -shared, -gain, rank, name, first, end, wording(want, of[first:end])
 
     def judge(self, block: str) -> list[tuple[str, float, int, str]]:
         """(license, saving, differing words, wording) of the templates that the block's wording confirms, the best first."""
@@ -155,7 +185,7 @@ class Scanner:
             return self.seen[block]
         taken: list[tuple[int, int]] = []
         best: dict[str, tuple[str, float, int, str]] = {}
-        for missing, _, gain, name, a, b, how in sorted(self.matches(block)):
+        for missing, _, gain, _, name, a, b, how in sorted(self.matches(block)):
             # a template that mostly matches words of a better one is a weaker reading of them
             if all(2 * (min(b, y) - max(a, x)) <= min(b - a, y - x) for x, y in taken):
                 taken.append((a, b))
